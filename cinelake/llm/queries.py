@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, secret_ledger
+from . import bpe, packing, quality_llr, secret_ledger, toxicity_mil, url_automaton
 from .common import table, written
 
 
@@ -42,13 +42,46 @@ def _op2_sql() -> str:
     )
 
 
+def op3_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality_llr.judge(docs, table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def op4_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_mil.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+# The rules of the query.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+URL_GLOBS = [("block", "**/wp-login.php**"), ("block", "**/cgi-bin/**"), ("block", "**.exe")]
+
+
+def op8_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_automaton.judge(table(spark, sf_dir, "pages"), URL_RULES, URL_GLOBS)
+
+
+def _op8_sql() -> str:
+    fits = lambda host, path: f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+    rules = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h + p}'" for _, h, p in rules)
+    verdict = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in rules)
+    globs = " ".join(f"WHEN host || path LIKE '{g.replace('_', '#_').replace('**', '%')}' ESCAPE '#' THEN '{v}'" for v, g in URL_GLOBS)
+    return (
+        "WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages), "
+        "h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM r), "
+        "c AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h) "
+        f"SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} {globs} ELSE 'allow' END AS verdict FROM c"
+    )
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_ledger, op5_best_fit_packing, op9_byte_bpe)}
-ORACLE_SQL = {"op2_secret_ledger": _op2_sql()}
+QUERIES = {f.__name__: f for f in (op2_secret_ledger, op3_quality_llr, op4_toxicity_mil, op5_best_fit_packing, op8_url_automaton, op9_byte_bpe)}
+ORACLE_SQL = {"op2_secret_ledger": _op2_sql(), "op8_url_automaton": _op8_sql()}
