@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: sentences are instances, documents are bags.
 
-A sentence's score is logistic in the words it holds; a document's is the noisy-or of its sentences,
+A sentence's score is logistic in the words, and word beginnings, it holds; a document's is the noisy-or of its sentences,
 1 - prod(1 - p). Only documents have labels: the likelihood of the bags trains the sentence weights, which then
 point at the offending sentences. The model is fitted on a bounded sample of labelled rows: of each label, those
 with the least hashes of their id, at most `per_label` documents and `max_chars` characters. Everything else
@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +28,8 @@ _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]")
 _STOPS = frozenset(".!?\n")
 _END = 1e9
+#: Words whose weight a task remembers; beyond that they are worked out each time.
+MEMO = 400_000
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -55,14 +56,30 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int, max_chars: int) -
     return [(r["text"] or "", r["toxic"]) for r in rows]
 
 
-def train(texts: list[tuple[str, int]], least_docs: int = 4, steps: int = 250, rate: float = 0.1, l1: float = 2e-4) -> tuple[dict[str, float], float]:
+def features(word: str) -> list[str]:
+    """The word itself and its beginnings of four to seven letters, which inflected forms share."""
+    return [word] + ["^" + word[:k] for k in range(4, min(8, len(word)))]
+
+
+def telling(tokens: list[list[str]], y: np.ndarray, least_docs: int, least_z: float) -> dict[str, int]:
+    """Numbers of the features held by so many more toxic documents than chance would have it; the others get no weight."""
+    df = [Counter(f for own, of in zip(tokens, y, strict=True) if of == k for f in {f for w in set(own) - _STOPS for f in features(w)}) for k in (0, 1)]
+    n = [int((y == k).sum()) for k in (0, 1)]
+    keep = []
+    for w, own in df[1].items():
+        p = (own + df[0][w]) / sum(n)
+        if own >= least_docs and own / n[1] - df[0][w] / n[0] >= least_z * np.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1])):
+            keep.append(w)
+    return {w: i for i, w in enumerate(sorted(keep))}
+
+
+def train(texts: list[tuple[str, int]], least_docs: int = 5, least_z: float = 5.0, steps: int = 500, rate: float = 0.1, l2: float = 1e-5) -> tuple[dict[str, float], float]:
     """Word weights and the intercept, by gradient steps on the noisy-or likelihood; both labels weigh the same in all."""
     if len({y for _, y in texts}) < 2:
         return {}, -np.inf
     tokens = [_TOKEN.findall(t.lower()) for t, _ in texts]
-    df = Counter(w for own in tokens for w in set(own) if w not in _STOPS)
-    vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in df.items() if n >= least_docs))}
-    word, sentence, bag, s = [], [], [], -1
+    vocabulary = telling(tokens, np.array([y for _, y in texts]), least_docs, least_z)
+    word, sentence, bag, s, held = [], [], [], -1, {}
     for d, own in enumerate(tokens):
         fresh = True
         for t in own:
@@ -72,7 +89,9 @@ def train(texts: list[tuple[str, int]], least_docs: int = 4, steps: int = 250, r
             if fresh:
                 s, fresh = s + 1, False
                 bag.append(d)
-            if (i := vocabulary.get(t)) is not None:
+            if t not in held:
+                held[t] = [vocabulary[f] for f in features(t) if f in vocabulary]
+            for i in held[t]:
                 word.append(i)
                 sentence.append(s)
     word, sentence, bag = (np.array(x, np.int64) for x in (word, sentence, bag))
@@ -86,29 +105,40 @@ def train(texts: list[tuple[str, int]], least_docs: int = 4, steps: int = 250, r
         a = np.maximum(np.bincount(bag, weights=np.logaddexp(0, z), minlength=len(y)), 1e-12)  # -log(1 - P)
         slope = weight * np.where(y == 1, -1 / np.expm1(np.minimum(a, 30)), 1.0)
         dz = slope[bag] * p
-        g = np.append(np.bincount(word, weights=dz[sentence], minlength=len(w)), dz.sum())
+        g = np.append(np.bincount(word, weights=dz[sentence], minlength=len(w)) + l2 * w, dz.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-        w = np.sign(w) * np.maximum(np.abs(w) - l1 * rate * 10, 0)
     return {t: float(w[i]) for t, i in vocabulary.items() if w[i]}, float(b)
 
 
+class _Weights(dict):
+    """A word's weight, the sum of its features'; sentence ends have their own mark."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__(dict.fromkeys(_STOPS, _END))
+        self.weights = weights
+
+    def __missing__(self, word: str) -> float:
+        x = sum(self.weights.get(f, 0.0) for f in features(word))
+        if len(self) < MEMO:
+            self[word] = x
+        return x
+
+
 SCORES = "score double, n_sentences int, n_offending int, worst_start int, worst_end int"
 
 
 def score(docs: DataFrame, weights: dict[str, float], intercept: float) -> DataFrame:
     """(doc_id, text) to doc_id and SCORES: how many sentences reach 0.5, and where the worst of those lies (code points)."""
     set_batches(docs.sparkSession)
-    table = dict(weights) | dict.fromkeys(_STOPS, _END)
-
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = table.get
+        get = _Weights(weights).__getitem__
         for b in batches:
             out = []
             for text in b.column(1).to_pylist():
                 tokens = _TOKEN.findall((text or "").lower())
-                x = np.fromiter(map(get, tokens, repeat(0.0)), float, len(tokens))
+                x = np.fromiter(map(get, tokens), float, len(tokens))
                 words = x != _END
                 if not words.any() or not np.isfinite(intercept):
                     out.append((0.0, 0, 0, None, None))
