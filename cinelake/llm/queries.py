@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality_llr, secret_ledger, topk, toxicity_mil, url_automaton, warc
+from . import bpe, packing, quality_llr, secret_ledger, substring_dedup, topk, toxicity_mil, url_automaton, warc
 from .common import table, written
 
 
+def op1_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = secret_ledger.address(table(spark, sf_dir, "documents").select("doc_id", "text"))
     ledger = written(secret_ledger.scan_unseen(docs), "ledger")
@@ -113,5 +117,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_ledger, op3_quality_llr, op4_toxicity_mil, op5_best_fit_packing, op6_norm_buckets, op7_warc_chunks, op8_url_automaton, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_sentence_spans, op2_secret_ledger, op3_quality_llr, op4_toxicity_mil, op5_best_fit_packing, op6_norm_buckets, op7_warc_chunks, op8_url_automaton, op9_byte_bpe)}
 ORACLE_SQL = {"op2_secret_ledger": _op2_sql(), "op6_norm_buckets": _OP6_SQL, "op7_warc_chunks": _OP7_SQL, "op8_url_automaton": _op8_sql()}
