@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality_llr, secret_ledger, substring_dedup, topk, toxicity_mil, url_automaton, warc
+from . import bpe, minhash_forest, packing, quality_llr, secret_ledger, substring_dedup, topk, toxicity_mil, url_automaton, warc
 from .common import table, written
 
 
@@ -117,5 +117,25 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentence_spans, op2_secret_ledger, op3_quality_llr, op4_toxicity_mil, op5_best_fit_packing, op6_norm_buckets, op7_warc_chunks, op8_url_automaton, op9_byte_bpe)}
-ORACLE_SQL = {"op2_secret_ledger": _op2_sql(), "op6_norm_buckets": _OP6_SQL, "op7_warc_chunks": _OP7_SQL, "op8_url_automaton": _op8_sql()}
+def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.link(table(spark, sf_dir, "documents"))
+
+
+_OP10_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 75 * (na.n + nb.n - i)),
+l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(doc_id, reach) AS (SELECT a, a FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reach),
+c AS (SELECT doc_id, min(reach) AS c FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.c, d.doc_id) AS component_id, coalesce(c.c, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+"""
+
+QUERIES = {f.__name__: f for f in (op1_sentence_spans, op2_secret_ledger, op3_quality_llr, op4_toxicity_mil, op5_best_fit_packing, op6_norm_buckets, op7_warc_chunks, op8_url_automaton, op9_byte_bpe, op10_minhash_forest)}
+ORACLE_SQL = {"op2_secret_ledger": _op2_sql(), "op6_norm_buckets": _OP6_SQL, "op7_warc_chunks": _OP7_SQL, "op8_url_automaton": _op8_sql(), "op10_minhash_forest": _OP10_SQL}
