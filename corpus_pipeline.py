@@ -1,12 +1,53 @@
-"""A corpus pipeline over documents, stage by stage; see STAGES."""
+"""A corpus pipeline over documents: quality, near-duplicates, repeated passages, secrets, packing.
+
+Each stage takes what its predecessor kept, as written and read again, and returns the columns of documents;
+the last returns packed pieces. No SQL expresses the tokenizer or the fitted threshold: tests hold the stages
+against brute force.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cinelake.llm import minhash_forest, packing, quality_llr, secret_ledger, substring_dedup
+from cinelake.llm.common import small, table, written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_llr.judge(docs, table(spark, sf_dir, "labels")).filter("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates: the one with the smallest id."""
+    dropped = minhash_forest.link(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(small(written(dropped, "dropped"), 16), F.col("doc_id") == F.col("_id"), "left_anti")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the sentences of repeated passages but their first."""
+    return substring_dedup.dedup(docs).select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with secrets replaced by their kind."""
+    return secret_ledger.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their places in training sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality rules", quality), ("MinHash near-dedup", near_duplicates), ("substring dedup", repeated_passages), ("secret scans", secrets), ("best-fit packing", pack)]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)
