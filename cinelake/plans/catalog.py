@@ -1,7 +1,10 @@
-"""Registered queries, each with its DuckDB equivalent where SQL can express it."""
+"""All registered queries, each with its DuckDB equivalent where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import matching
+
+_GROUPS = (matching,)
+QUERIES = {name: f for g in _GROUPS for name, f in g.QUERIES.items()}
+ORACLE_SQL = {name: sql for g in _GROUPS for name, sql in g.ORACLE_SQL.items()}
 FLAGSHIP = "tfidf_cosine_topk"
