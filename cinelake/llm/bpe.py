@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 
-from .common import set_batches
+from .common import set_batches, shielded
 
 #: Pre-tokens whose ids a worker remembers; beyond that they are worked out each time.
 MEMO = 400_000
@@ -195,8 +195,9 @@ def _tools(path: str, pattern: str):
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
-    """Adds `into`, an array of the ids of each whole text."""
+    """Adds `into`, an array of the ids of each whole text; a column of that name gives way."""
     set_batches(docs.sparkSession)
+    docs, restored = shielded(docs.drop(into), (text,))
     schema = StructType(list(docs.schema.fields)).add(into, ArrayType(IntegerType()))
     at = docs.columns.index(text)
 
@@ -206,11 +207,12 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", i
             ids = [list(chain.from_iterable(map(memo.__getitem__, split(t or "")))) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*b.schema.names, into])
 
-    return docs.mapInArrow(kernel, schema)
+    return restored(docs.mapInArrow(kernel, schema), into)
 
 
 def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", into: str = "bytes") -> DataFrame:
     """Adds `into`, the bytes of each array of ids."""
+    encoded, restored = shielded(encoded.drop(into), (ids,))
     schema = StructType(list(encoded.schema.fields)).add(into, BinaryType())
     at = encoded.columns.index(ids)
 
@@ -220,7 +222,7 @@ def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", into: str = "byt
             out = [v.decode(x or []) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, into])
 
-    return encoded.mapInArrow(kernel, schema)
+    return restored(encoded.mapInArrow(kernel, schema), into)
 
 
 DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"

@@ -71,3 +71,20 @@ def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch
                 yield kernel(batch)
 
     return df.mapInArrow(run, schema)
+
+
+def shielded(docs: DataFrame, own: tuple[str, ...] = ("doc_id", "text", "n_chars")) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """`docs` with every column but `own` under a neutral name, so that none clashes with an operator's, and a
+    function that gives a result its columns of `docs` back, in order, and what else is asked for."""
+    names = docs.columns
+    neutral = [c if c in own else f"_col{i}" for i, c in enumerate(names)]
+
+    def restored(made: DataFrame, *more: str) -> DataFrame:
+        return made.select(*(F.col(n).alias(c) for n, c in zip(neutral, names, strict=True)), *more)
+
+    return docs.toDF(*neutral), restored
+
+
+def without(docs: DataFrame, names: Iterable[str]) -> DataFrame:
+    """`docs` less the columns that a result's columns will take the names of."""
+    return docs.drop(*names)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import set_batches, small, written
+from .common import set_batches, shielded, small, without, written
 
 BUCKETS = 1 << 16
 UNIT = 1_000_000
@@ -179,6 +179,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """All columns of `docs`, METRICS, base_failed and kept."""
-    ratio, least = fit(docs.select("doc_id", "text"), labels.select("doc_id", "quality"))
-    return measure(docs, ratio).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(least)))
+    """All columns of `docs`, METRICS, base_failed and kept; a column of `docs` with such a name gives way."""
+    names = [*(x.split()[0] for x in METRICS.split(", ")), "base_failed", "kept"]
+    safe, restored = shielded(without(docs, names))
+    ratio, least = fit(safe.select("doc_id", "text"), labels.select("doc_id", "quality"))
+    made = measure(safe, ratio).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(least)))
+    return restored(made, *names)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs` that are kept, with all their columns, whatever these are called."""
+    safe, restored = shielded(docs)
+    return restored(judge(safe, labels).filter("kept"))

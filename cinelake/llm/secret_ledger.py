@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import set_batches, written
+from .common import set_batches, shielded, written
 
 
 @dataclass(frozen=True)
@@ -139,9 +139,10 @@ def findings(versions: DataFrame, ledger: DataFrame, keep: list[str], rules: tup
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, salts: int = 8) -> DataFrame:
-    """Documents with each finding replaced by `[REDACTED:kind]`; n_chars follows. Other columns and rows stay."""
+    """Documents with each finding replaced by `[REDACTED:kind]`; n_chars follows. Other columns and rows stay, whatever they are called."""
     set_batches(docs.sparkSession)
-    addressed = address(docs).withColumn("_salt", F.pmod(F.xxhash64(*[c for c in docs.columns if c != "text"]), F.lit(salts)).cast("int"))
+    safe, restored = shielded(docs)
+    addressed = address(safe).withColumn("_salt", F.pmod(F.xxhash64(*[c for c in safe.columns if c != "text"]), F.lit(salts)).cast("int"))
     ledger = scan_unseen(addressed.select("blob_id", "text"), None, rules)
     hits = ledger.filter(F.size("spans") > 0).select("blob_id", "spans", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     held = addressed.join(hits, ["blob_id", "_salt"], "left")
@@ -154,4 +155,4 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, salts: int = 8) ->
     cleaned = held.withColumn("text", clean)
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
-    return cleaned.select(*docs.columns)
+    return restored(cleaned)

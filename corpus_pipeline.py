@@ -12,23 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinelake.llm import minhash_forest, packing, quality_llr, secret_ledger, substring_dedup
-from cinelake.llm.common import small, table, written
+from cinelake.llm.common import shielded, small, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_llr.judge(docs, table(spark, sf_dir, "labels")).filter("kept").select(*docs.columns)
+    return quality_llr.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates: the one with the smallest id."""
-    dropped = minhash_forest.link(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(small(written(dropped, "dropped"), 16), F.col("doc_id") == F.col("_id"), "left_anti")
+    safe, restored = shielded(docs)
+    dropped = minhash_forest.link(safe).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
+    return restored(safe.join(small(written(dropped, "dropped"), 16), F.col("doc_id") == F.col("_id"), "left_anti"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the sentences of repeated passages but their first."""
-    return substring_dedup.dedup(docs).select(*docs.columns)
+    return substring_dedup.clean(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
