@@ -3,7 +3,7 @@
 Words and word pairs are hashed into buckets. Two multinomials over the buckets are counted: one over every
 document, one over the trusted ones (all their labels say quality 1; half of them, by checksum of the id).
 A document's score is the mean over its n-grams of log(target / raw), in whole millionths, so that it depends
-on no order of addition. The threshold is the least that does best on the labelled documents of the
+on no order of addition. The threshold does best on the labelled documents of the
 other half, where wrongly rejecting a good one costs more; it is the same for every document.
 
 Defined cases: a null or wordless text has no n-grams and fails the base rule; repeated rows are judged alike
@@ -110,12 +110,17 @@ def count_grams(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     return out
 
 
-def ratios(counts: np.ndarray) -> np.ndarray:
-    """Log ratio of each bucket, add-one smoothed, in whole millionths; all 0 without a target."""
+def ratios(counts: np.ndarray, prior: int = BUCKETS // 8) -> np.ndarray:
+    """Log ratio of each bucket, in whole millionths; all 0 without a target.
+
+    The raw multinomial is smoothed by one count a bucket, the target by `prior` counts dealt as in the raw one, so
+    that a bucket which the target had no chance to hold weighs little.
+    """
     target, raw = counts[:, 0].astype(float), counts[:, 1].astype(float)
     if not target.sum():
         return np.zeros(BUCKETS, np.int64)
-    return np.rint(UNIT * (np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS)))).astype(np.int64)
+    p = (raw + 1) / (raw.sum() + BUCKETS)
+    return np.rint(UNIT * np.log((target + prior * p) / ((target.sum() + prior) * p))).astype(np.int64)
 
 
 METRICS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, score double"
@@ -152,19 +157,20 @@ def base_failed() -> F.Column:
 
 
 def threshold(scored: DataFrame, cost_of_good: float = 20.0) -> float:
-    """The least score bound, in hundredths, that errs least on (score, quality); -inf if either kind lacks."""
+    """The score bound, in hundredths, that errs least on (score, quality): the middle of the first stretch of equals; -inf if either kind lacks."""
     bins: dict[int, list[int]] = {}
     for b, q, n in scored.groupBy(F.floor(F.col("score") * 100).cast("int"), "quality").count().collect():
         bins.setdefault(b, [0, 0])[1 if q == 1 else 0] += n
     bad, good = (sum(x[k] for x in bins.values()) for k in (0, 1))
     if not bad or not good:
         return float("-inf")
-    best, rejected = (1.0, float("-inf")), [0, 0]
-    for b in sorted(bins):
+    best, stretch, rejected, met = 1.0, None, [0, 0], sorted(bins)
+    for b, after in zip(met, [*met[1:], met[-1] + 1], strict=True):
         rejected = [rejected[k] + bins[b][k] for k in (0, 1)]
         loss = (bad - rejected[0]) / bad + cost_of_good * rejected[1] / good
-        best = min(best, (loss, (b + 1) / 100))
-    return best[1]
+        if loss < best:  # any bound from above this bin to the next one errs alike
+            best, stretch = loss, (b + 1, after)
+    return float("-inf") if stretch is None else (stretch[0] + stretch[1]) / 200
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:

@@ -28,7 +28,12 @@ def frame(spark, texts, ids=None):
 def prose():
     rng = random.Random(5)
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(4000)]
-    return lambda n, seed: " ".join(random.Random(seed).choice(vocabulary) + ("." if i % 9 == 8 else "") for i in range(n)).capitalize()
+
+    def made(n, seed):
+        own = random.Random(seed)
+        return " ".join(own.choice(vocabulary) + ("." if i % 9 == 8 else "") for i in range(n)).capitalize()
+
+    return made
 
 
 # --- secret scans
