@@ -85,7 +85,7 @@ def dialogue_text(texts: DataFrame, keys: list[str]) -> DataFrame:
 
 def first_by(rows: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     """The first row of each key in a total order."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
+    return rows.withColumn("_first", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_first = 1").drop("_first")
 
 
 def best_pack(packs: DataFrame, covers: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:

@@ -38,4 +38,5 @@ def retry_after_ms(headers: Column, now_ms: Column) -> Column:
     reset = number("x-ratelimit-reset")
     wait = F.when(reset > 1e12, reset - now_ms).when(reset > 1e9, reset * 1000 - now_ms).otherwise(reset * 1000)
     spent = F.when(number("x-ratelimit-remaining") <= 0, F.coalesce(wait, F.lit(1000.0)))
-    return F.greatest(F.lit(0.0), F.coalesce(number("retry-after") * 1000, spent))
+    asked = F.coalesce(number("retry-after") * 1000, spent)
+    return F.when(asked.isNotNull(), F.greatest(F.lit(0.0), asked))
