@@ -239,3 +239,28 @@ def test_phrases_split_evenly(spark):
     for n, rows in itertools.groupby(sorted(map(tuple, df.collect())), key=lambda r: r[0]):
         sizes = [len(list(g)) for _, g in itertools.groupby(r[2] for r in rows)]
         assert all(s == 6 for s in sizes[:-1]) and (n < 6 or 3 <= sizes[-1] <= 8)
+
+
+def test_keywords_are_heard_by_word_or_sound(spark):
+    from cinelake.operators import coverage
+
+    items = spark.createDataFrame([(1, "the knight rides a lamp"), (2, "a smith")], "id int, text string")
+    heard = spark.createDataFrame([(7, "one night with a lamp"), (8, "mister smyth")], "doc int, text string")
+    k = coverage.tokens(items, ["id"]).filter("length(word) >= 4").select("id", "word", "code", F.lit(1.0).alias("w"))
+    hits = coverage.keyword_hits(k, coverage.tokens(heard, ["doc"]), "id", "doc")
+    assert sorted((r.id, r.doc, r.word) for r in hits.collect()) == [(1, 7, "lamp"), (2, 8, "smith")]  # the code of "night" is too short
+    scores = {(r.id, r.doc): round(r.score, 6) for r in coverage.summary_scores(k, coverage.tokens(heard, ["doc"]), "id", "doc").collect()}
+    assert scores[2, 8] == 0.8 and scores[1, 7] == round(0.8 * (1 / 3 - 0.1) / 0.5, 6)
+
+
+def test_phrases_survive_misheard_words(spark):
+    from cinelake.operators import coverage
+
+    text = "the old lamp went out over the quiet harbour while nobody was looking at the shore"
+    docs = spark.createDataFrame([(1, text), (2, "entirely different matters were discussed at great length by the committee of elders")], "doc int, text string")
+    heard = spark.createDataFrame([(9, text.replace("lamp", "lamb").replace("harbour", "harber"))], "q int, text string")
+    d, h = coverage.tokens(docs, ["doc"]), coverage.tokens(heard, ["q"])
+    df = d.select("doc", F.col("word").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("df"))
+    rows = coverage.phrase_coverage(h, d, coverage.phrases(h, df, F.lit(2), ["q"]), "q", "doc").collect()
+    got = {r.doc: r.coverage for r in rows}
+    assert got[1] > 0.9 and got.get(2, 0) < 0.1
