@@ -409,8 +409,8 @@ ORACLE_SQL = {
     "top04_best_pack": _PACK_SQL,
     "top03_best_record": _RECORD_SQL,
     "snk01_cache_latest": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",
-    "src16_cache_freshness": "WITH e AS (SELECT event_id, epoch_ms(ts) AS t, max(epoch_ms(ts)) OVER () AS now FROM events) SELECT event_id, CASE WHEN now - t <= 7 * 86400000 THEN 'fresh' WHEN now - t <= 20 * 86400000 THEN 'stale' ELSE 'expired' END AS state FROM e",
-    "snk02_cache_purge": "WITH e AS (SELECT event_id, event_type AS provider, epoch_ms(ts) AS t, max(epoch_ms(ts)) OVER () + 160 * 86400000 AS now FROM events) SELECT event_id, provider FROM e WHERE NOT (provider = 'click' AND now - t > 183 * 86400000)",
+    "src16_cache_freshness": "WITH e AS (SELECT event_id, epoch_ms(ts) AS t, max(epoch_ms(ts)) OVER () AS now FROM events) SELECT event_id, CASE WHEN now - t <= 7 * 86400000::BIGINT THEN 'fresh' WHEN now - t <= 20 * 86400000::BIGINT THEN 'stale' ELSE 'expired' END AS state FROM e",
+    "snk02_cache_purge": "WITH e AS (SELECT event_id, event_type AS provider, epoch_ms(ts) AS t, max(epoch_ms(ts)) OVER () + 160 * 86400000::BIGINT AS now FROM events) SELECT event_id, provider FROM e WHERE NOT (provider = 'click' AND now - t > 183 * 86400000::BIGINT)",
     "str01_event_fold": _FOLD_SQL,
     "str02_journal_replay": _JOURNAL_SQL,
     "top06_recent_jobs": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20",

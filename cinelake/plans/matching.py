@@ -246,7 +246,7 @@ def _listening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", F.dayofyear("ts").alias("day"), start.alias("start_s"), (start + F.col("value") * 40).alias("end_s"))
 
 
-_LISTENING_SQL = "WITH w AS (SELECT user_id, dayofyear(ts)::INTEGER AS day, hour(ts) * 3600.0 + minute(ts) * 60.0 + second(ts) AS start_s, hour(ts) * 3600.0 + minute(ts) * 60.0 + second(ts) + value * 40 AS end_s FROM events),"
+_LISTENING_SQL = "WITH w AS (SELECT user_id, dayofyear(ts)::INTEGER AS day, (hour(ts) * 3600 + minute(ts) * 60 + second(ts))::DOUBLE AS start_s, (hour(ts) * 3600 + minute(ts) * 60 + second(ts))::DOUBLE + value * 40 AS end_s FROM events),"
 _MERGE_SQL = """
 i0 AS (SELECT *, CASE WHEN max(end_s) OVER (PARTITION BY user_id, day ORDER BY start_s, end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= start_s THEN 0 ELSE 1 END AS new FROM {w}),
 i1 AS (SELECT *, sum(new) OVER (PARTITION BY user_id, day ORDER BY start_s, end_s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM i0),
@@ -267,8 +267,8 @@ def win07_window_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GAPS_SQL = _LISTENING_SQL + """
-cl AS (SELECT user_id, day, greatest(start_s, 0.0) AS start_s, least(end_s, 86400.0) AS end_s FROM w WHERE least(end_s, 86400.0) > greatest(start_s, 0.0)),
-al AS (SELECT * FROM cl UNION ALL SELECT DISTINCT user_id, day, 0.0, 0.0 FROM w UNION ALL SELECT DISTINCT user_id, day, 86400.0, 86400.0 FROM w),""" + _MERGE_SQL.format(w="al") + """,
+cl AS (SELECT user_id, day, greatest(start_s, 0.0::DOUBLE) AS start_s, least(end_s, 86400.0::DOUBLE) AS end_s FROM w WHERE least(end_s, 86400.0) > greatest(start_s, 0.0)),
+al AS (SELECT * FROM cl UNION ALL SELECT DISTINCT user_id, day, 0::DOUBLE, 0::DOUBLE FROM w UNION ALL SELECT DISTINCT user_id, day, 86400::DOUBLE, 86400::DOUBLE FROM w),""" + _MERGE_SQL.format(w="al") + """,
 g AS (SELECT user_id, day, lag(end_s) OVER (PARTITION BY user_id, day ORDER BY start_s) AS a, start_s AS b FROM m)
 SELECT user_id, day, round(a, 3) AS start_s, round(b, 3) AS end_s FROM g WHERE b > a
 """
@@ -294,7 +294,7 @@ WITH f AS (SELECT l_orderkey AS user_id, l_linenumber AS day, max(l_quantity) *
 s AS (SELECT user_id, day, d, unnest([0.15, 0.40, 0.65, 0.85]) AS share FROM f WHERE d > 360),
 w AS (SELECT user_id, day, greatest(0.0, least(share * d - 52.5, d - 105))::DOUBLE AS start_s, greatest(0.0, least(share * d - 52.5, d - 105))::DOUBLE + 105 AS end_s FROM s),""" + _MERGE_SQL.format(w="w") + """
 SELECT user_id AS l_orderkey, day AS l_linenumber, round(start_s, 3) AS start_s, round(end_s, 3) AS end_s FROM m
-UNION ALL SELECT user_id, day, 0.0, round(d, 3) FROM f WHERE d <= 360 AND d > 0
+UNION ALL SELECT user_id, day, 0::DOUBLE, round(d, 3) FROM f WHERE d <= 360 AND d > 0
 """
 
 
