@@ -162,8 +162,8 @@ def srt_time(seconds: Column) -> Column:
 
 
 def clock(seconds: Column) -> Column:
-    """m:ss, or h:mm:ss from an hour on."""
-    s = F.floor(F.greatest(seconds, F.lit(0.0))).cast("bigint")
+    """m:ss, or h:mm:ss from an hour on, of the nearest second."""
+    s = F.floor(F.greatest(seconds, F.lit(0.0)) + 0.5).cast("bigint")
     return F.when(s >= 3600, F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)).otherwise(F.format_string("%d:%02d", F.floor(s / 60), s % 60))
 
 
@@ -171,6 +171,34 @@ def episode_code(season: Column, number: Column) -> Column:
     return F.format_string("S%02dE%02d", season, number)
 
 
+def megabytes(size: Column) -> Column:
+    return F.concat(F.format_number(F.floor(size / 1_000_000 + 0.5), 0), F.lit(" MB"))
+
+
+def percent(share: Column) -> Column:
+    return F.concat(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * 100 + 0.5).cast("string"), F.lit("%"))
+
+
+def plural(count: Column, one: str, many: str | None = None) -> Column:
+    return F.concat(F.format_number(count, 0), F.lit(" "), F.when(count == 1, one).otherwise(many or f"{one}s"))
+
+
+def time_left(seconds: Column) -> Column:
+    """An estimate in words."""
+    whole = lambda c: F.floor(c + 0.5).cast("bigint")
+    hours = F.concat(F.lit("About "), F.floor(seconds / 3600).cast("string"), F.lit(" h "), whole((seconds % 3600) / 60).cast("string"), F.lit(" min left"))
+    minutes = F.concat(F.lit("About "), plural(whole(seconds / 60), "minute"), F.lit(" left"))
+    return F.when(seconds < 60, "Less than a minute left").when(seconds < 3600, minutes).otherwise(hours)
+
+
+def day(at_ms: Column, now_ms: Column) -> Column:
+    """Today, Yesterday, or the date, with its year if it's another."""
+    date = lambda c: F.to_date(F.timestamp_millis(c))
+    ago = F.datediff(date(now_ms), date(at_ms))
+    named = F.concat(F.date_format(date(at_ms), "MMM d"), F.when(F.year(date(at_ms)) == F.year(date(now_ms)), "").otherwise(F.date_format(date(at_ms), ", yyyy")))
+    return F.when(ago == 0, "Today").when(ago == 1, "Yesterday").otherwise(named)
+
+
 def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/\\]*)[/\\]*$", 1)
 

@@ -14,6 +14,36 @@ def review(verdict: Column) -> tuple[Column, Column]:
     return kind, verdict.isin("Confident", "Extra")
 
 
+def category(matched: Column, suggestion: Column, choice: Column, approved: Column) -> Column:
+    """How a file shows in the review: waiting, playAll, skipped, check, extra or approved."""
+    return (
+        F.when(~matched, "waiting")
+        .when(suggestion == "playAll", "playAll")
+        .when(choice.isNull(), "waiting")
+        .when(choice == "skip", "skipped")
+        .when(~approved, "check")
+        .when(choice == "notAnEpisode", "extra")
+        .otherwise("approved")
+    )
+
+
+def in_filter(category_: Column, chosen: str) -> Column:
+    return F.lit(True) if chosen == "all" else category_ == {"extras": "extra"}.get(chosen, chosen)
+
+
+def category_counts(reviews: DataFrame, keys: list[str]) -> DataFrame:
+    """Files of each category, none as 0."""
+    kinds = ["approved", "check", "extra", "skipped", "playAll", "waiting"]
+    return reviews.groupBy(*keys).agg(*(F.count_if(F.col("category") == k).alias(k) for k in kinds))
+
+
+def with_initial(reviews: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:
+    """Reviews of all matches: the user's where there is one, else what the verdict starts with. The play-all has none."""
+    kind, approved = review(F.col("verdict"))
+    fresh = matches.filter("verdict != 'PlayAll'").select(*keys, kind.alias("_c"), approved.alias("_a"))
+    return fresh.join(reviews, keys, "full").select(*keys, F.coalesce("choice", "_c").alias("choice"), F.coalesce("approved", "_a").alias("approved"))
+
+
 def placements(files: DataFrame, decisions: DataFrame, matches: DataFrame, episodes: DataFrame, job: str = "job_id") -> DataFrame:
     """outcome of each file: item (with its episode) or why it stays: playAll, skipped or extra. An unknown approved episode raises."""
     told = (

@@ -111,14 +111,14 @@ def snk01_cache_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src16_cache_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fresh, stale or expired events as of the last one."""
     rows = table(spark, sf_dir, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
-    now = F.broadcast(rows.agg(F.max("at_ms").alias("now")))
-    return rows.crossJoin(now).select("event_id", cache.freshness(F.col("now") - F.col("at_ms"), 7, 20).alias("state"))
+    now = rows.agg(F.max("at_ms").alias("now")).first()["now"]
+    return rows.select("event_id", cache.freshness(F.lit(now) - F.col("at_ms"), 7, 20).alias("state"))
 
 
 def snk02_cache_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("provider"), F.unix_millis(F.col("ts").cast("timestamp")).alias("fetched_at_ms"))
-    now = F.broadcast(rows.agg((F.max("fetched_at_ms") + 160 * cache.DAY_MS).alias("now")))
-    return cache.purge(rows.crossJoin(now), "click", F.col("now")).select("event_id", "provider")
+    now = rows.agg((F.max("fetched_at_ms") + 160 * cache.DAY_MS).alias("now")).first()["now"]
+    return cache.purge(rows, "click", F.lit(now)).select("event_id", "provider")
 
 
 def str01_event_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,7 +290,7 @@ def sca50_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FORMATS_SQL = """
-WITH s AS (SELECT *, floor(l_extendedprice / 7)::BIGINT AS s FROM lineitem)
+WITH s AS (SELECT *, floor(l_extendedprice / 7 + 0.5)::BIGINT AS s FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS clock, printf('S%02dE%02d', l_linenumber, floor(l_quantity)::INTEGER) AS code FROM s
 """
 

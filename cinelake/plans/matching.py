@@ -65,7 +65,7 @@ def agg02_idf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequency and idf of every term of the corpus."""
     docs = table(spark, sf_dir, "documents")
     frequency = tfidf.document_frequency(tfidf.term_counts(docs, ["doc_id"]))
-    return frequency.crossJoin(F.broadcast(docs.agg(F.count("*").alias("n")))).select("term", "df", F.round(tfidf.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    return frequency.select("term", "df", F.round(tfidf.idf(F.lit(docs.count()), F.col("df")), 6).alias("idf"))
 
 
 def agg05_typical_phrase_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
