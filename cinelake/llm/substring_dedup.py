@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import set_batches, small, written
+from .common import set_batches, shielded, without, written
 
 WIDTH, LEAST, LONG = 3, 10, 50
 
@@ -109,16 +109,18 @@ def removals(docs: DataFrame, width: int = WIDTH, least: int = LEAST, long: int
     set_batches(docs.sparkSession)
     found = places(docs, width, least, long)
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("places")).filter(F.col("places") > 1).select("h1", "h2", "first")
-    first = small(written(first, "repeated"), 48)
-    lost = found.join(first, ["h1", "h2"]).filter(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
+    # merge joins at every size: one that turned into a broadcast on small inputs would hide what large ones move
+    lost = found.join(first.hint("merge"), ["h1", "h2"]).filter(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
     return lost.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "n")).alias("gone"))
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, least: int = LEAST, long: int = LONG) -> DataFrame:
     """`docs` with the text cleaned, and n_sentences, n_removed, removed (start:end of the lost stretches in the old
-    text, code points, comma-joined). n_chars follows where there is such a column."""
-    gone = written(removals(docs, width, least, long), "removals").withColumnRenamed("doc_id", "_id")
-    lost = docs.join(small(gone, 400), F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left").drop("_id")
+    text, code points, comma-joined). n_chars follows where there is such a column; a column of `docs` with a result's
+    name gives way."""
+    docs, restored = shielded(without(docs, ["n_sentences", "n_removed", "removed"]))
+    gone = written(removals(docs, width, least, long), "removals").select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone"))
+    lost = docs.join(gone.hint("merge"), F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left").drop("_id")
     fields = [f for f in docs.schema.fields]
     text_at, gone_at = docs.columns.index("text"), len(fields)
 
@@ -150,4 +152,10 @@ def dedup(docs: DataFrame, width: int = WIDTH, least: int = LEAST, long: int = L
     made = lost.mapInArrow(kernel, schema)
     if "n_chars" in docs.columns:
         made = made.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return made
+    return restored(made, "n_sentences", "n_removed", "removed")
+
+
+def clean(docs: DataFrame) -> DataFrame:
+    """`docs` with the texts cleaned, and all other columns, whatever these are called."""
+    safe, restored = shielded(docs)
+    return restored(dedup(safe))
