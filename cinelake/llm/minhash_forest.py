@@ -33,7 +33,7 @@ HASHES = 128
 TREES = 24
 #: Places in the signature at which trees start; and how deep prefixes may get.
 STRIDE = 5
-DEPTHS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128)
+DEPTHS = (2, 4, 8, 16, 32, 64, 128)
 REGION = 256
 #: Least share of equal hashes that makes a pair likely: over four standard deviations below 0.75.
 LIKELY = 0.58
@@ -132,7 +132,8 @@ def regions(classes: DataFrame, region: int) -> tuple[DataFrame, DataFrame | Non
         source = classes.select("rep", "sig") if todo is None else todo.join(classes.select("rep", "sig"), "rep").select("rep", "sig", "tree")
         keyed = source.mapInArrow(kernel, "key bigint, rep bigint, tree int")
         sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least")).filter(F.col("n") > 1)
-        shared = written(keyed.join(sizes, "key"), "shared")
+        # a table of its own, so that a key with very many rows can be split in the join
+        shared = written(keyed.join(written(sizes, "sizes").hint("merge"), "key"), "shared")
         found.append(shared.filter(F.col("n") <= region).select("key", "rep"))
         todo = shared.filter(F.col("n") > region)
         if todo.isEmpty():
@@ -228,7 +229,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = both.join(written(least, "least"), "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small_star = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
         done, edges = edges, written(small_star, "edges")
@@ -258,7 +259,7 @@ def link(docs: DataFrame, percent: int = 75, region: int = REGION, salts: int =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in low], pa.binary())], ["rep", "mini"])
 
     mini = classes.select("rep", "sig").mapInArrow(minis, "rep bigint, mini binary")
-    members = written(shared.join(mini, "rep"), "members")
+    members = written(shared.join(mini.hint("merge"), "rep"), "members")
     tried = candidates(members.withColumn("label", F.lit(0).cast("bigint")), apart=False)
     tried = written(tried if stars is None else tried.union(stars).distinct(), "tried")
     needed = written(tried.select(F.col("a").alias("_id")).union(tried.select("b")).distinct(), "needed")
@@ -280,6 +281,6 @@ def link(docs: DataFrame, percent: int = 75, region: int = REGION, salts: int =
     told = classes.join(labels, "rep", "left").filter((F.col("copies") > 1) | F.col("label").isNotNull())
     told = told.select("set_key", label.alias("component"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     rows = sketches.select("doc_id", "n_shingles", "set_key", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("_salt"))
-    joined = rows.join(told, ["set_key", "_salt"], "left")
+    joined = rows.join(told.hint("merge"), ["set_key", "_salt"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("component", "doc_id"), "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
