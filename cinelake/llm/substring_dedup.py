@@ -109,8 +109,9 @@ def removals(docs: DataFrame, width: int = WIDTH, least: int = LEAST, long: int
     set_batches(docs.sparkSession)
     found = places(docs, width, least, long)
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("places")).filter(F.col("places") > 1).select("h1", "h2", "first")
-    # merge joins at every size: one that turned into a broadcast on small inputs would hide what large ones move
-    lost = found.join(first.hint("merge"), ["h1", "h2"]).filter(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
+    # a table of its own, so that a run with very many places can be split in the join; and a merge join at every
+    # size: one that turned into a broadcast on small inputs would hide what large ones move
+    lost = found.join(written(first, "repeated").hint("merge"), ["h1", "h2"]).filter(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
     return lost.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "n")).alias("gone"))
 
 
