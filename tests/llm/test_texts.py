@@ -275,6 +275,15 @@ def test_forest_odd_rows(spark, prose):
     assert minhash_forest.link(frame(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_depths_between_doublings_are_tried(spark):
+    """Ten classes that share three values, among 300 that share two, meet nowhere but at depth three."""
+    sigs = np.random.default_rng(4).integers(0, 1 << 32, (300, minhash_forest.HASHES), dtype=np.uint32)
+    sigs[:, :2], sigs[:10, 2] = 7, 9
+    classes = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sigs)], "rep bigint, sig binary")
+    found = minhash_forest.regions(classes, 256)[0].collect()
+    assert sorted(r.rep for r in found) == list(range(10)) and len({r.key for r in found}) == 1
+
+
 # --- repeated passages
 
 
