@@ -12,6 +12,10 @@ candidate of the spanning forest may fail where another pair would not, a second
 of a region whose classes are still apart. A tie of whole signatures beyond `region` is compared with its
 least class. Links are joined to components by alternating stars, all in tables.
 
+Deeper prefixes part classes that should meet: where a region of the least depth has more than `region` classes, every
+class that is then not yet linked with most of it meets all others of the region, in blocks. It offers its likeliest
+pairs first, and more in each round, until all likely pairs whose classes are apart were confirmed or refused.
+
 Defined cases: null and wordless texts have the empty set, which links with nothing; a text of fewer words than a
 shingle has one shingle, all its words; rows that share an id are one document; a null id gets no component and
 is kept; an empty table gives an empty result. Other columns are ignored.
@@ -37,6 +41,8 @@ DEPTHS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128)
 REGION = 256
 #: Least share of equal hashes that makes a pair likely: over four standard deviations below 0.75.
 LIKELY = 0.58
+#: Classes in a block of a crowded region; pairs a class offers in the first round there, and how many times more in each next.
+BLOCK, OFFERED, MORE = 1024, 4, 8
 MEMO = 400_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -115,9 +121,10 @@ def _matrix(column: pa.Array, dtype: type, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
 
 
-def regions(classes: DataFrame, region: int) -> tuple[DataFrame, DataFrame | None]:
-    """(key, rep) of all regions of 2 to `region` classes, and candidates (a, b) from ties too large to split."""
-    found, stars, todo = [], None, None
+def regions(classes: DataFrame, region: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(key, rep) of all regions of 2 to `region` classes, candidates (a, b) from ties too large to split, and (key, rep)
+    of the regions of the least depth that are larger."""
+    found, stars, crowded, todo = [], None, None, None
     for level, depth in enumerate(DEPTHS):
 
         def kernel(batches: Iterator[pa.RecordBatch], depth: int = depth, level: int = level) -> Iterator[pa.RecordBatch]:
@@ -140,11 +147,13 @@ def regions(classes: DataFrame, region: int) -> tuple[DataFrame, DataFrame | Non
             break
         if depth == DEPTHS[-1]:
             stars = todo.filter(F.col("rep") > F.col("least")).select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
+        if not level:
+            crowded = todo.select("key", "rep")
         todo = todo.select("rep", "tree")
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    return out, stars
+    return out, stars, crowded
 
 
 def _spanning(likely: np.ndarray) -> list[tuple[int, int]]:
@@ -202,6 +211,54 @@ def candidates(members: DataFrame, apart: bool) -> DataFrame:
     return rows.mapInArrow(kernel, "a bigint, b bigint").distinct()
 
 
+def across(crowded: DataFrame, mini: DataFrame, labels: DataFrame, best: int) -> tuple[DataFrame, int]:
+    """Likely pairs (a < b) of classes of crowded regions whose labels differ, of each class not of its region's commonest
+    label the `best` likeliest in each block; and how many classes the largest such region has."""
+    label = F.coalesce(F.col("label"), F.col("rep")).alias("label")
+    rows = written(crowded.join(labels, "rep", "left").select("key", "rep", label), "crowded")
+    counts = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
+    main = counts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).filter(F.col("all") > F.col("top.n"))
+    main = written(main.select("key", F.col("top.label").alias("main"), "all", (F.col("all") - F.col("top.n")).alias("others")), "main")
+    rows = rows.join(main, "key").join(mini, "rep")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("rep"), blocks(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    asks = rows.filter(F.col("label") != F.col("main")).select("key", own("others").alias("i"), each("all").alias("j"), F.lit(0).alias("side"), "rep", "mini", "label")
+    asked = rows.select("key", each("others").alias("i"), own("all").alias("j"), F.lit(1).alias("side"), "rep", "mini", "label")
+
+    def pairs(sides: tuple[list, list]) -> Iterator[tuple[int, int]]:
+        if not (sides[0] and sides[1]):
+            return
+        reps, labels = (np.array([r[k] for r in sides[1]]) for k in (0, 2))
+        x = np.frombuffer(b"".join(r[1] for r in sides[1]), np.uint8).reshape(-1, HASHES)
+        for rep, sig, label in sides[0]:
+            share = (x == np.frombuffer(sig, np.uint8)).mean(axis=1)
+            at = np.flatnonzero((share >= LIKELY) & (labels != label))
+            for k in at[np.lexsort([reps[at], -share[at]])][:best]:
+                yield min(rep, int(reps[k])), max(rep, int(reps[k]))
+
+    def batch(out: set) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sorted(out), strict=True)], ["a", "b"])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sides, out = None, ([], []), set()
+        for b in batches:
+            for key, i, j, side, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (key, i, j) != at:
+                    out.update(pairs(sides))
+                    at, sides = (key, i, j), ([], [])
+                sides[side].append(row)
+            if out:
+                yield batch(out)
+                out = set()
+        out.update(pairs(sides))
+        if out:
+            yield batch(out)
+
+    met = asks.unionByName(asked).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return met.mapInArrow(kernel, "a bigint, b bigint").distinct(), main.agg(F.max("all")).first()[0] or 0
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs with 100 * intersection >= percent * union, on full sets (rep, items)."""
 
@@ -251,7 +308,7 @@ def link(docs: DataFrame, percent: int = 75, region: int = REGION, salts: int =
     sketches = written(sketch(docs), "sketches")
     classes = sketches.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
     classes = written(classes, "classes")
-    shared, stars = regions(classes, region)
+    shared, stars, crowded = regions(classes, region)
 
     def minis(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -262,21 +319,40 @@ def link(docs: DataFrame, percent: int = 75, region: int = REGION, salts: int =
     members = written(shared.join(mini.hint("merge"), "rep"), "members")
     tried = candidates(members.withColumn("label", F.lit(0).cast("bigint")), apart=False)
     tried = written(tried if stars is None else tried.union(stars).distinct(), "tried")
-    needed = written(tried.select(F.col("a").alias("_id")).union(tried.select("b")).distinct(), "needed")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t or "").tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["rep", "items"])
 
-    # each class once: a repeated id gives all its sets, whichever of them links
-    sets = written(docs.join(small(needed, 16), F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "text").mapInArrow(full, "rep bigint, items binary").distinct(), "sets")
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        # each class once: a repeated id gives all its sets, whichever of them links
+        needed = written(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), "needed")
+        return written(docs.join(small(needed, 16), F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "text").mapInArrow(full, "rep bigint, items binary").distinct(), "sets")
+
+    sets = sets_of(tried)
     links = written(confirm(tried, sets, percent), "links")
     labels = components(links)
     label = F.coalesce(F.col("label"), F.col("rep"))
-    again = candidates(members.join(labels, "rep", "left").select("key", "rep", "mini", label.alias("label")), apart=True).join(tried, ["a", "b"], "left_anti")
-    more = written(confirm(written(again, "again"), sets, percent), "links")
+    again = written(candidates(members.join(labels, "rep", "left").select("key", "rep", "mini", label.alias("label")), apart=True).join(tried, ["a", "b"], "left_anti"), "again")
+    more = written(confirm(again, sets, percent), "links")
     if not more.isEmpty():
-        labels = components(links.union(more))
+        links = links.union(more)
+        labels = components(links)
+    best, most = OFFERED, 0 if crowded is None else 1
+    while most:
+        offered, most = across(crowded, mini, labels, best)
+        offered = written(offered, "offered")
+        if not most or offered.isEmpty():
+            break
+        tried = tried.union(again)
+        again = written(offered.join(tried, ["a", "b"], "left_anti"), "again")
+        more = written(confirm(again, sets_of(again), percent), "links")
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = components(links)
+        if best >= most:
+            break
+        best *= MORE
     # classes of one document that reached nothing smaller need no join: their component is themselves
     told = classes.join(labels, "rep", "left").filter((F.col("copies") > 1) | F.col("label").isNotNull())
     told = told.select("set_key", label.alias("component"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))

@@ -284,6 +284,21 @@ def test_depths_between_doublings_are_tried(spark):
     assert sorted(r.rep for r in found) == list(range(10)) and len({r.key for r in found}) == 1
 
 
+def test_large_groups_of_different_near_copies_stay_whole(spark):
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    texts = [" ".join(base)]
+    for _ in range(2999):
+        words = list(base)
+        for k in rng.sample(range(300), 6):
+            words[k] += str(rng.random())
+        texts.append(" ".join(words))
+    sets = [set(minhash_forest.shingles(t).tolist()) for t in texts]
+    near = {i for i, s in enumerate(sets) if 100 * len(s & sets[0]) >= 75 * len(s | sets[0])}
+    rows = minhash_forest.link(frame(spark, texts), region=256).collect()
+    assert len(near) > 2500 and near <= {r.doc_id for r in rows if r.component_id == 0}
+
+
 # --- repeated passages
 
 
