@@ -7,6 +7,10 @@ A run has at least `width` sentences and `least` words: from each sentence on, a
 such run, so that a repeated passage is covered from its first whole sentence to its last. One or
 two sentences of `long` words in all are a run too. Letter case and white space do not tell runs apart.
 
+A passage that starts or ends inside a sentence, or has no sentences, may hold no whole run. So of what is left, every
+stretch of `long` words that occurs again is found by its words: a hash of 26 of them is chosen from each stretch by its
+content alone, and where that repeats the whole stretch is hashed. But for the first place, just its words go.
+
 Counting first combines before its shuffle; only runs that repeat are joined with their places, so that no task
 gathers a run's places, however common it is.
 
@@ -34,6 +38,12 @@ _PIECE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+$")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
+_WORD = re.compile(r"\S+")
+#: Words of the part that is chosen from a stretch.
+PART = 26
+_MASK = (1 << 64) - 1
+
+
 def cut(text: str) -> tuple[list[int], list[list[str]]]:
     """Starts of the sentences (the first is 0) and their words; a piece without words belongs to the sentence before."""
     starts, words = [], []
@@ -89,6 +99,27 @@ def runs(docs: list[list[list[str]]], width: int, least: int, long: int) -> tupl
     return doc[b] if total else b, b - first[b] if total else b, length, h1.view(np.int64), (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def _sums(h: np.ndarray, size: int, factor: np.uint64) -> np.ndarray:
+    """A hash of every `size` words in a row, of the words' hashes."""
+    if len(h) < size:
+        return np.zeros(0, np.uint64)
+    back = np.uint64(pow(int(factor), -1, _MASK + 1))
+    powers = lambda x: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(h), x))])
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(factor)[:-1], dtype=np.uint64)])
+    return _mix((total[size:] - total[:-size]) * powers(back)[: len(h) - size + 1])
+
+
+def stretches(text: str, long: int) -> tuple[np.ndarray, ...]:
+    """Of every `long` words in a row: two hashes, and the hash and place of the part chosen from them."""
+    h = np.array([xxhash.xxh3_64_intdigest(w) for w in text.lower().split()], np.uint64)
+    part = min(PART, long)
+    if len(h) < long:
+        return (np.zeros(0, np.int64),) * 4
+    parts = _sums(h, part, _A)
+    place = np.lib.stride_tricks.sliding_window_view(parts, long - part + 1).argmin(axis=1) + np.arange(len(h) - long + 1)
+    return _sums(h, long, _B).view(np.int64), _sums(h, long, _C).view(np.int64), parts[place].view(np.int64), place
+
+
 PLACES = "h1 bigint, h2 int, doc_id bigint, pos int, n int"
 
 
@@ -115,6 +146,94 @@ def removals(docs: DataFrame, width: int = WIDTH, least: int = LEAST, long: int
     return lost.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "n")).alias("gone"))
 
 
+def repeated(docs: DataFrame, long: int = LONG) -> DataFrame:
+    """doc_id, again: for each document that holds any, its stretches of `long` words that occur earlier, as (pos, start, h1): those
+    that overlap their first place go from `start` on, where it ends."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, text in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                # once for each place: neighbours mostly share theirs
+                *_, chosen, place = stretches(text or "", long)
+                if len(chosen):
+                    own = chosen[np.unique(place, return_index=True)[1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([doc.as_py()] * len(own), pa.int64())], ["part", "doc_id"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, text, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                h1, h2, chosen, _ = stretches(text or "", long)
+                at = np.flatnonzero(np.isin(chosen, np.array(own, np.int64)))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(h1[at]), pa.array(h2[at]), pa.array([doc] * len(at), pa.int64()), pa.array(at, pa.int32())], ["h1", "h2", "doc_id", "pos"])
+
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    found = docs.mapInArrow(parts, "part bigint, doc_id bigint")
+    common = found.groupBy("part").agg(F.count("*").alias("places")).filter(F.col("places") > 1).select("part")
+    own = found.join(written(common, "parts").hint("merge"), "part").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("part").alias("own"))
+    places = docs.join(written(own, "holders").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "own").mapInArrow(whole, "h1 bigint, h2 bigint, doc_id bigint, pos int")
+    places = written(places, "stretches")
+    first = places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("places")).filter(F.col("places") > 1).select("h1", "h2", "first")
+    lost = places.join(written(first, "firsts").hint("merge"), ["h1", "h2"]).filter(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
+    start = F.when(F.col("doc_id").eqNullSafe(F.col("first.doc_id")), F.greatest("pos", F.col("first.pos") + long)).otherwise(F.col("pos")).alias("start")
+    return lost.groupBy("doc_id").agg(F.collect_set(F.struct("pos", start, "h1")).alias("again"))
+
+
+def _without_words(text: str, again: list, removed: str, long: int) -> tuple[str, int, str]:
+    """A text less the words of stretches (pos, start, h1), how many sentences that touches, and all lost stretches in the old text."""
+    words, h1 = [m.start() for m in _WORD.finditer(text)], stretches(text, long)[0]
+    out = np.zeros(len(words) + 1, bool)
+    for r in again:
+        if r["pos"] < len(h1) and h1[r["pos"]] == r["h1"]:
+            out[r["start"] : r["pos"] + long] = True
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], out]).astype(np.int8)))
+    bounds = [*words, len(text)]
+    spans = [(bounds[s], bounds[e]) for s, e in edges.reshape(-1, 2)]
+    starts = [*cut(text)[0], len(text)]
+    touched = sum(any(s < b and e > a for s, e in spans) for a, b in zip(starts, starts[1:], strict=False))
+    # a place of this text, in the old one: after all that was lost up to there
+    gone = [tuple(map(int, r.split(":"))) for r in removed.split(",") if r]
+    lost = list(gone)
+    for s, e in spans:
+        for a, b in gone:
+            s, e, cut_at = (s + b - a, e + b - a, None) if a <= s else (s, e, a)
+            if cut_at is not None and cut_at < e:
+                lost.append((s, a))
+                s, e = b, e + b - a
+        lost.append((s, e))
+    joined: list = []
+    for s, e in sorted(lost):
+        if joined and s <= joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(e, joined[-1][1]))
+        else:
+            joined.append((s, e))
+    kept, last = [], 0
+    for s, e in spans:
+        kept.append(text[last:s])
+        last = e
+    return "".join([*kept, text[last:]]), touched, ",".join(f"{s}:{e}" for s, e in joined)
+
+
+def _without_repeated(made: DataFrame, long: int) -> DataFrame:
+    """Cleaned rows less the stretches of words that are left twice."""
+    again = written(repeated(made, long), "again").select(F.col("doc_id").alias("_id"), F.col("again").alias("_again"))
+    fields = made.schema.fields
+    at = {f.name: i for i, f in enumerate(fields)}
+    lost = made.join(again.hint("merge"), F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left").drop("_id")
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = {c: b.column(at[c]).to_pylist() for c in ("text", "n_removed", "removed")}
+            for k, own in enumerate(b.column(len(fields)).to_pylist()):
+                if own and new["text"][k]:
+                    new["text"][k], n, new["removed"][k] = _without_words(new["text"][k], own, new["removed"][k], long)
+                    new["n_removed"][k] += n
+            columns = [pa.array(new[f.name], b.column(i).type) if f.name in new else b.column(i) for i, f in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+
+    return lost.mapInArrow(kernel, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
+
+
 def dedup(docs: DataFrame, width: int = WIDTH, least: int = LEAST, long: int = LONG) -> DataFrame:
     """`docs` with the text cleaned, and n_sentences, n_removed, removed (start:end of the lost stretches in the old
     text, code points, comma-joined). n_chars follows where there is such a column; a column of `docs` with a result's
@@ -150,7 +269,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, least: int = LEAST, long: int = L
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32()), pa.array(cuts, pa.int32()), pa.array(spans)], names=[*(f.name for f in fields), "n_sentences", "n_removed", "removed"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["n_sentences int, n_removed int, removed string"])
-    made = lost.mapInArrow(kernel, schema)
+    made = _without_repeated(written(lost.mapInArrow(kernel, schema), "cleaned"), long)
     if "n_chars" in docs.columns:
         made = made.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return restored(made, "n_sentences", "n_removed", "removed")

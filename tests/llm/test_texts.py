@@ -343,3 +343,28 @@ def test_passages_go_but_for_their_first(spark, prose):
     assert substring_dedup.dedup(docs.limit(0)).count() == 0
     twice = substring_dedup.dedup(frame(spark, [passage, passage, passage], ids=[None, 3, 3])).collect()
     assert sorted((r.doc_id or 0, bool(r.text)) for r in twice) == [(0, True), (3, False), (3, False)]
+
+
+def test_passages_across_sentences_go(spark, prose):
+    """Over 50 words that hold no whole run: cut off inside sentences, or without any."""
+    tail = lambda n, seed: prose(n, seed).replace(".", "")
+    passage = f"{tail(20, 50)}. {tail(22, 51)}. {tail(22, 52)}"
+    bare = tail(70, 53)
+    texts = [f"{tail(9, k)} {p} {tail(7, 60 + k)}." for k, p in enumerate([passage, passage.upper(), bare, bare])]
+    rows = {r.doc_id: r for r in substring_dedup.dedup(frame(spark, texts)).collect()}
+    assert [rows[k].text for k in (0, 2)] == [texts[0], texts[2]]
+    assert [rows[k].text for k in (1, 3)] == [f"{tail(9, k)} {tail(7, 60 + k)}." for k in (1, 3)]
+    for r in rows.values():
+        kept = texts[r.doc_id]
+        for s, e in reversed([tuple(map(int, x.split(":"))) for x in r.removed.split(",") if x]):
+            kept = kept[:s] + kept[e:]
+        assert kept == r.text and (r.n_removed > 0) == (r.doc_id in (1, 3))
+
+
+def test_no_long_stretch_is_left_twice(spark):
+    rows = substring_dedup.dedup(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    first = {}
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        words = (r.text or "").lower().split()
+        for p in range(len(words) - 49):
+            assert first.setdefault(tuple(words[p : p + 50]), (r.doc_id, p)) == (r.doc_id, p)
