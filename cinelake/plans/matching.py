@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cinelake.operators import intervals, scoring, tfidf
+from cinelake.operators import audio, intervals, scoring, tfidf
 
 from .tables import broadcast_if_small, table
 
@@ -326,10 +326,19 @@ SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(list_transfo
 FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0
 """
 
+
+def agg26_offset_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised correlation of the vectors of the stated set (ids divisible by 20) with all others, also one value early or late."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("needle"))
+    pairs = v.select("vec_id", F.col("embedding").alias("hay")).crossJoin(broadcast_if_small(asked, 600)).filter("query_id != vec_id")
+    return audio.correlations(pairs, ["query_id", "vec_id"], 1)
+
+
 QUERIES = {f.__name__: f for f in (
     tfidf_cosine_topk, agg01_term_counts, agg02_idf_terms, agg05_typical_phrase_weight, agg10_summary_keywords, sca15_duration_fit, agg11_combine_signals, win10_verdicts,
     agg12_play_all, win03_disc_slots, win04_order_signal, win06_merge_windows, win07_window_gaps, agg16_covered_seconds, agg20_audio_cost, ker10_plan_windows,
-    ker10_escalation_windows, agg21_speed, agg26_vector_correlation,
+    ker10_escalation_windows, agg21_speed, agg26_vector_correlation, agg26_offset_correlation,
 )}
 ORACLE_SQL = {
     "tfidf_cosine_topk": _TOPK_SQL,

@@ -281,3 +281,18 @@ def test_formats_and_reviews(spark):
     shown = both.withColumn("category", renames.category(L(True), L("episode"), F.col("choice"), F.col("approved")))
     assert renames.category_counts(shown, ["job"]).drop("job").first().asDict() == {"approved": 0, "check": 1, "extra": 1, "skipped": 1, "playAll": 0, "waiting": 0}
     assert [x.file for x in shown.filter(renames.in_filter(F.col("category"), "extras")).collect()] == ["c"]
+
+
+def test_correlations_at_offsets(spark):
+    """All vectors divisible by 20 against all others, by hand."""
+    from cinelake.plans import matching
+
+    sf = "/root/testdata/sf0.001"
+    vectors = {r.vec_id: r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    got = {(r.query_id, r.vec_id, r.offset): r for r in matching.agg26_offset_correlation(spark, sf).collect()}
+    want = [(q, v, o) for q in vectors if q % 20 == 0 for v in vectors if v != q for o in (-1, 0, 1)]
+    assert sorted(got) == sorted(want)
+    for q, v, o in want[:: max(1, len(want) // 3000)]:
+        shared = [(x, vectors[v][i + o]) for i, x in enumerate(vectors[q]) if 0 <= i + o < len(vectors[v])]
+        norm = sum(x * x for x, _ in shared) ** 0.5 * sum(y * y for _, y in shared) ** 0.5
+        assert got[q, v, o].rows_inside == len(shared) and abs(got[q, v, o].correlation - (sum(x * y for x, y in shared) / norm if norm else 0)) < 1e-6
