@@ -1,7 +1,8 @@
 """WARC archives through a chunked record table.
 
 A payload is a run of rows (record id, chunk number, bytes), each with the digest of the payload up to its end, so
-that no step holds an oversized record whole. The writer turns rows into gzip members of `.warc.gz` files, one
+that no step after the cutting holds an oversized record whole; the cutting itself gets whole payloads, in Arrow
+batches. The writer turns rows into gzip members of `.warc.gz` files, one
 member a record, chunk by chunk; the reader streams them back into the same kind of table, checks every payload
 against its header's digest, and never looks further than one chunk.
 
