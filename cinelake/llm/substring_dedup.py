@@ -138,7 +138,7 @@ def places(docs: DataFrame, width: int, least: int, long: int) -> DataFrame:
 def removals(docs: DataFrame, width: int = WIDTH, least: int = LEAST, long: int = LONG) -> DataFrame:
     """doc_id, gone: for each document that loses any, its lost runs as (pos, n)."""
     set_batches(docs.sparkSession)
-    found = places(docs, width, least, long)
+    found = written(places(docs, width, least, long), "places")
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("places")).filter(F.col("places") > 1).select("h1", "h2", "first")
     # a table of its own, so that a run with very many places can be split in the join; and a merge join at every
     # size: one that turned into a broadcast on small inputs would hide what large ones move
@@ -168,7 +168,8 @@ def repeated(docs: DataFrame, long: int = LONG) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(h1[at]), pa.array(h2[at]), pa.array([doc] * len(at), pa.int64()), pa.array(at, pa.int32())], ["h1", "h2", "doc_id", "pos"])
 
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    found = docs.mapInArrow(parts, "part bigint, doc_id bigint")
+    # read twice: what is written is not hashed again
+    found = written(docs.mapInArrow(parts, "part bigint, doc_id bigint"), "chosen")
     common = found.groupBy("part").agg(F.count("*").alias("places")).filter(F.col("places") > 1).select("part")
     own = found.join(written(common, "parts").hint("merge"), "part").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("part").alias("own"))
     places = docs.join(written(own, "holders").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "own").mapInArrow(whole, "h1 bigint, h2 bigint, doc_id bigint, pos int")
