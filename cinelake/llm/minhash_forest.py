@@ -4,26 +4,28 @@ A text's set is its distinct shingles of five words. Equal sets form one class;
 compared. Each class has a signature of minimum hashes. A tree of the forest is an order of its own over the
 signatures: it starts at another place of the signature and compares value by value. Classes with a common prefix
 are neighbours there, and the prefix is as deep as its region asks for: two values where that leaves
-at most `region` classes, and ever more where it doesn't. Regions are counted, never gathered, until small.
+at most `region` classes, three or four where it doesn't. Regions are counted, never gathered, until small.
 
-Within a region classes are compared by their signatures; only a maximum spanning forest of the likely pairs goes
-on, which connects whatever all pairs would, without emitting them. Candidates are confirmed on the full sets. Since a
-candidate of the spanning forest may fail where another pair would not, a second round takes every likely pair
-of a region whose classes are still apart. A tie of whole signatures beyond `region` is compared with its
-least class. Links are joined to components by alternating stars, all in tables.
+Deeper prefixes would part classes that should meet: of pairs at exactly 0.75 the 24 orders together miss 2e-9 at two values,
+1e-4 at four, 8 % at eight. So a region that is too large at four values stays whole: in it, each class is first tried with its
+likeliest neighbours in the sorted order; then those that did not come to the region's commonest label meet all its classes,
+block by block.
 
-Deeper prefixes part classes that should meet: where a region of the least depth has more than `region` classes, every
-class that is then not yet linked with most of it meets all others of the region, in blocks. It offers its likeliest
-pairs first, and more in each round, until all likely pairs whose classes are apart were confirmed or refused.
+Of a region only a maximum spanning forest of the likely pairs is confirmed at first, on the full sets. Since a pair
+of that forest may be refused where another would not, a second pass takes the classes of every region and block that have a
+likely partner of another label, with their full sets, and compares them exactly. It gives out links that join labels
+only, fewer than classes, so that nothing grows with a group's square but the comparing itself. Links are joined to components by
+alternating stars, all in tables.
 
 Defined cases: null and wordless texts have the empty set, which links with nothing; a text of fewer words than a
 shingle has one shingle, all its words; rows that share an id are one document; a null id gets no component and
-is kept; an empty table gives an empty result. Other columns are ignored.
+is kept; an empty table gives an empty result; texts of any length count whole, and blocks hold fewer classes where
+sets are long; ties of whole signatures are a region like others. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +39,13 @@ HASHES = 128
 TREES = 24
 #: Places in the signature at which trees start; and how deep prefixes may get.
 STRIDE = 5
-DEPTHS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128)
+DEPTHS = (2, 3, 4)
 REGION = 256
 #: Least share of equal hashes that makes a pair likely: over four standard deviations below 0.75.
 LIKELY = 0.58
-#: Classes in a block of a crowded region; pairs a class offers in the first round there, and how many times more in each next.
-BLOCK, OFFERED, MORE = 1024, 4, 8
+#: Classes in a block of a crowded region, and shingles they have on average; earlier neighbours a class is tried with there, of so many.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21
+TRIED, NEAR = 2, 32
 MEMO = 400_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -121,10 +124,9 @@ def _matrix(column: pa.Array, dtype: type, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
 
 
-def regions(classes: DataFrame, region: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """(key, rep) of all regions of 2 to `region` classes, candidates (a, b) from ties too large to split, and (key, rep)
-    of the regions of the least depth that are larger."""
-    found, stars, crowded, todo = [], None, None, None
+def regions(classes: DataFrame, region: int) -> tuple[DataFrame, DataFrame | None]:
+    """(key, rep) of all regions of 2 to `region` classes, and (key, rep, tree) of those that are larger at the last depth."""
+    found, todo = [], None
     for level, depth in enumerate(DEPTHS):
 
         def kernel(batches: Iterator[pa.RecordBatch], depth: int = depth, level: int = level) -> Iterator[pa.RecordBatch]:
@@ -138,22 +140,19 @@ def regions(classes: DataFrame, region: int) -> tuple[DataFrame, DataFrame | Non
 
         source = classes.select("rep", "sig") if todo is None else todo.join(classes.select("rep", "sig"), "rep").select("rep", "sig", "tree")
         keyed = source.mapInArrow(kernel, "key bigint, rep bigint, tree int")
-        sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least")).filter(F.col("n") > 1)
+        sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
         # a table of its own, so that a key with very many rows can be split in the join
         shared = written(keyed.join(written(sizes, "sizes").hint("merge"), "key"), "shared")
         found.append(shared.filter(F.col("n") <= region).select("key", "rep"))
-        todo = shared.filter(F.col("n") > region)
+        todo = shared.filter(F.col("n") > region).select("key", "rep", "tree")
         if todo.isEmpty():
+            todo = None
             break
-        if depth == DEPTHS[-1]:
-            stars = todo.filter(F.col("rep") > F.col("least")).select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-        if not level:
-            crowded = todo.select("key", "rep")
-        todo = todo.select("rep", "tree")
+        todo = todo if depth == DEPTHS[-1] else todo.select("rep", "tree")
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    return out, stars, crowded
+    return out, todo
 
 
 def _spanning(likely: np.ndarray) -> list[tuple[int, int]]:
@@ -170,93 +169,177 @@ def _spanning(likely: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def candidates(members: DataFrame, apart: bool) -> DataFrame:
-    """Pairs (a < b) of classes in a region that are likely: a spanning forest of them, or, with `apart`, all whose labels differ.
+def _groups(batches: Iterator[pa.RecordBatch], of: int) -> Iterator[tuple[tuple, list[tuple]] | None]:
+    """(first `of` columns, rows of the others) of rows sorted by the first; None after each batch."""
+    at, held = None, []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if row[:of] != at:
+                if held:
+                    yield at, held
+                at, held = row[:of], []
+            held.append(row[of:])
+        yield None
+    if held:
+        yield at, held
+    yield None
+
+
+def _batched(batches: Iterator[pa.RecordBatch], of: int, made: Callable[[tuple, list[tuple]], Iterable[tuple]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """What `made` gives of each group, with the distinct rows of each batch."""
+    out: set = set()
+    for group in _groups(batches, of):
+        if group:
+            out.update(made(*group))
+        elif out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*sorted(out), strict=True)], names)
+            out = set()
+
+
+def _shares(rows: list[tuple], others: list[tuple], percent: int) -> np.ndarray:
+    """Shares of equal hashes of (_, mini, n, ...) rows, 0 where a pair is unlikely or its sizes alone rule it out."""
+    x, y = (np.frombuffer(b"".join(r[1] for r in own), np.uint8).reshape(-1, HASHES) for own in (rows, others))
+    n, m = (np.array([r[2] for r in own]) for own in (rows, others))
+    share = np.stack([(y == row).mean(axis=1) for row in x])
+    share[(share < LIKELY) | (100 * np.minimum(n[:, None], m) < percent * np.maximum(n[:, None], m))] = 0
+    return share
+
+
+def candidates(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b): a maximum spanning forest of the likely pairs of every region. members: key, rep, mini, n."""
+
+    def pairs(_: tuple, rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        rows = sorted(dict.fromkeys(rows))
+        share = _shares(rows, rows, percent)
+        np.fill_diagonal(share, 0)
+        for i, j in _spanning(share):
+            yield min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])
 
-    members: key, rep, mini (a byte of each minimum hash), label.
-    """
+    rows = members.select("key", "rep", "mini", "n").repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(lambda batches: _batched(batches, 1, pairs, ["a", "b"]), "a bigint, b bigint").distinct()
 
-    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        rows = sorted(dict.fromkeys(rows))
-        if len(rows) < 2:
-            return
-        x = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), HASHES)
-        share = np.stack([(x == row).mean(axis=1) for row in x])
-        share[share < LIKELY] = 0
-        if apart:
-            label = np.array([r[2] for r in rows])
-            for i, j in zip(*np.nonzero(np.triu(share, 1) * (label[:, None] != label[None, :])), strict=True):
-                yield rows[i][0], rows[j][0]
-        else:
-            np.fill_diagonal(share, 0)
-            for i, j in _spanning(share):
-                yield min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])
+
+def neighbours(crowded: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of crowded regions: each class with the likeliest few of its neighbours before it in the sorted order.
+
+    crowded: key, rep, mini, n, place (the signature from the region's depth on, in its tree's order). Ranges of the order are dealt to tasks,
+    so that a region of any size is split; neighbours that this parts meet later.
+    """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, out = None, [], set()
+        last: list[tuple] = []
         for b in batches:
-            for k, *row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if k != key:
-                    out.update(pairs(held))
-                    key, held = k, []
-                held.append(tuple(row))
+            out = set()
+            for key, *row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                row = tuple(row)
+                before = [r for k, r in last if k == key]
+                if before:
+                    share = _shares([row], before, percent)[0]
+                    for k in np.argsort(-share, kind="stable")[:TRIED]:
+                        if share[k] and before[k][0] != row[0]:
+                            out.add((min(row[0], before[k][0]), max(row[0], before[k][0])))
+                last = [*last[1 - NEAR :], (key, row)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sorted(out), strict=True)], ["a", "b"])
-                out = set()
-        out.update(pairs(held))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sorted(out), strict=True)], ["a", "b"])
 
-    rows = members.select("key", "rep", "mini", "label").repartition("key").sortWithinPartitions("key")
+    rows = crowded.select("key", "rep", "mini", "n", "place").repartitionByRange("key", "place", "rep").sortWithinPartitions("key", "place", "rep")
     return rows.mapInArrow(kernel, "a bigint, b bigint").distinct()
 
 
-def across(crowded: DataFrame, mini: DataFrame, labels: DataFrame, best: int) -> tuple[DataFrame, int]:
-    """Likely pairs (a < b) of classes of crowded regions whose labels differ, of each class not of its region's commonest
-    label the `best` likeliest in each block; and how many classes the largest such region has."""
+def tiles(members: DataFrame, crowded: DataFrame | None, labels: DataFrame) -> DataFrame:
+    """(key, i, j, side, rep, mini, n, label): a region of `members` is a tile of its own, all on side 0. In a crowded one the classes that are
+    not of its commonest label are on side 0 of the tiles (i, j) of their block i and each block j of all its classes, on side 1.
+
+    Blocks come from hashes; counts of labels are all that is gathered of a region.
+    """
     label = F.coalesce(F.col("label"), F.col("rep")).alias("label")
-    rows = written(crowded.join(labels, "rep", "left").select("key", "rep", label), "crowded")
-    counts = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
-    main = counts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).filter(F.col("all") > F.col("top.n"))
-    main = written(main.select("key", F.col("top.label").alias("main"), "all", (F.col("all") - F.col("top.n")).alias("others")), "main")
-    rows = rows.join(main, "key").join(mini, "rep")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    own = lambda n: F.pmod(F.xxhash64("rep"), blocks(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    asks = rows.filter(F.col("label") != F.col("main")).select("key", own("others").alias("i"), each("all").alias("j"), F.lit(0).alias("side"), "rep", "mini", "label")
-    asked = rows.select("key", each("others").alias("i"), own("all").alias("j"), F.lit(1).alias("side"), "rep", "mini", "label")
-
-    def pairs(sides: tuple[list, list]) -> Iterator[tuple[int, int]]:
-        if not (sides[0] and sides[1]):
+    own = ["key", "rep", "mini", "n"]
+    small_ones = members.join(labels, "rep", "left").select(*own, label)
+    mixed = small_ones.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most").select("key")
+    place = [F.lit(0).alias(c) for c in ("i", "j", "side")]
+    out = small_ones.join(written(mixed, "mixed").hint("merge"), "key").select("key", *place, "rep", "mini", "n", "label")
+    if crowded is None:
+        return out
+    rows = written(crowded.join(labels, "rep", "left").select(*own, label), "crowded")
+    counts = rows.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    main = counts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s")).filter(F.col("c") > F.col("top.c"))
+    blocks = lambda c, s: F.greatest(F.ceil(c / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    main = main.select("key", F.col("top.label").alias("main"), blocks(F.col("c"), F.col("s")).alias("all"), blocks(F.col("c") - F.col("top.c"), F.col("s")).alias("others"))
+    rows = rows.join(written(main, "main").hint("merge"), "key")
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = ["rep", "mini", "n", "label"]
+    asks = rows.filter(F.col("label") != F.col("main")).select("key", block("others").alias("i"), each("all").alias("j"), F.lit(0).alias("side"), *rest)
+    asked = rows.select("key", each("others").alias("i"), block("all").alias("j"), F.lit(1).alias("side"), *rest)
+    return out.unionByName(asks).unionByName(asked)
+
+
+def involved(tiled: DataFrame, percent: int) -> DataFrame:
+    """(key, i, j, side, rep, label) of the classes in a tile that have a likely partner of another label there."""
+
+    def rows_of(tile: tuple, rows: list[tuple]) -> Iterator[tuple]:
+        rows = sorted(dict.fromkeys(rows))
+        asking = [r[1:] for r in rows if r[0] == 0]
+        asked = [r[1:] for r in rows if r[0] == 1] or asking
+        if not asking:
             return
-        reps, labels = (np.array([r[k] for r in sides[1]]) for k in (0, 2))
-        x = np.frombuffer(b"".join(r[1] for r in sides[1]), np.uint8).reshape(-1, HASHES)
-        for rep, sig, label in sides[0]:
-            share = (x == np.frombuffer(sig, np.uint8)).mean(axis=1)
-            at = np.flatnonzero((share >= LIKELY) & (labels != label))
-            for k in at[np.lexsort([reps[at], -share[at]])][:best]:
-                yield min(rep, int(reps[k])), max(rep, int(reps[k]))
-
-    def batch(out: set) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sorted(out), strict=True)], ["a", "b"])
+        on = (_shares(asking, asked, percent) > 0) & (np.array([r[3] for r in asking])[:, None] != np.array([r[3] for r in asked]))
+        for k in np.flatnonzero(on.any(axis=1)):
+            yield *tile, 0, asking[k][0], asking[k][3]
+        if asked is not asking:
+            for k in np.flatnonzero(on.any(axis=0)):
+                yield *tile, 1, asked[k][0], asked[k][3]
+
+    at = ["key", "i", "j"]
+    rows = tiled.select(*at, "side", "rep", "mini", "n", "label").repartition(*at).sortWithinPartitions(*at)
+    schema = "key bigint, i int, j int, side int, rep bigint, label bigint"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, sides, out = None, ([], []), set()
-        for b in batches:
-            for key, i, j, side, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (key, i, j) != at:
-                    out.update(pairs(sides))
-                    at, sides = (key, i, j), ([], [])
-                sides[side].append(row)
-            if out:
-                yield batch(out)
-                out = set()
-        out.update(pairs(sides))
-        if out:
-            yield batch(out)
-
-    met = asks.unionByName(asked).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return met.mapInArrow(kernel, "a bigint, b bigint").distinct(), main.agg(F.max("all")).first()[0] or 0
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        for b in _batched(batches, 3, rows_of, names):
+            yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(b.columns, kinds, strict=True)], names)
+
+    return rows.mapInArrow(kernel, schema)
+
+
+def joining(asking: list[tuple], asked: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
+    """Of (rep, label, items) rows, links at `percent` between the two lists that join labels, each of use."""
+    labels, own = np.unique(np.array([r[1] for r in [*asking, *asked]]), return_inverse=True)
+    own, other = own[: len(asking)], own[len(asking) :]
+    root = np.arange(len(labels))
+    size = np.array([len(r[2]) for r in asked])
+    flat = np.concatenate([r[2] for r in asked])
+    order = np.argsort(flat, kind="stable")
+    holder = np.repeat(np.arange(len(asked)), size)[order]
+    items, first = np.unique(flat[order], return_index=True)
+    first = np.append(first, len(flat))
+    for (rep, _, mine), at in zip(asking, own, strict=True):
+        k = np.searchsorted(items, mine)
+        k = k[(k < len(items)) & (items[np.minimum(k, len(items) - 1)] == mine)]
+        n = first[k + 1] - first[k]
+        hits = np.repeat(first[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(holder[hits], minlength=len(asked))
+        on = 100 * both >= percent * (len(mine) + size - both)
+        for j in np.flatnonzero(on & (root[other] != root[at])):
+            x, y = root[at], root[other[j]]
+            if x != y:
+                root[root == y] = x
+                yield min(rep, asked[j][0]), max(rep, asked[j][0])
+
+
+def exact(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a < b) between classes of other labels in a tile, of `involved`, on full sets (rep, items): as many as join labels there."""
+
+    def pairs(_: tuple, rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        rows = [(side, rep, label, np.frombuffer(items, np.uint64)) for side, rep, label, items in sorted(dict.fromkeys(rows))]
+        asking = [r[1:] for r in rows if r[0] == 0]
+        asked = [r[1:] for r in rows if r[0] == 1] or asking
+        return joining(asking, asked, percent) if asking else iter(())
+
+    at = ["key", "i", "j"]
+    whole = rows.join(sets.hint("merge"), "rep").select(*at, "side", "rep", "label", "items").repartition(*at).sortWithinPartitions(*at)
+    return whole.mapInArrow(lambda batches: _batched(batches, 3, pairs, ["a", "b"]), "a bigint, b bigint").distinct()
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -272,11 +355,10 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
-    # a pair whose sizes alone rule it out need not meet
+    # pairs whose sizes alone rule them out were left out where they were made
     sized = pairs.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("x")), "a").filter(F.col("a") != F.col("b"))
     both = sized.join(sets.select(F.col("rep").alias("b"), F.col("items").alias("y")), "b")
-    fits = 100 * F.least(F.octet_length("x"), F.octet_length("y")) >= percent * F.greatest(F.octet_length("x"), F.octet_length("y"))
-    return both.filter(fits).select("a", "b", "x", "y").mapInArrow(kernel, "a bigint, b bigint").distinct()
+    return both.select("a", "b", "x", "y").mapInArrow(kernel, "a bigint, b bigint").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -306,53 +388,42 @@ def link(docs: DataFrame, percent: int = 75, region: int = REGION, salts: int =
     set_batches(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sketches = written(sketch(docs), "sketches")
-    classes = sketches.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
+    classes = sketches.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"))
     classes = written(classes, "classes")
-    shared, stars, crowded = regions(classes, region)
+    shared, crowded = regions(classes, region)
 
     def minis(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             low = _matrix(b.column(1), np.uint32, HASHES).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in low], pa.binary())], ["rep", "mini"])
-
-    mini = classes.select("rep", "sig").mapInArrow(minis, "rep bigint, mini binary")
-    members = written(shared.join(mini.hint("merge"), "rep"), "members")
-    tried = candidates(members.withColumn("label", F.lit(0).cast("bigint")), apart=False)
-    tried = written(tried if stars is None else tried.union(stars).distinct(), "tried")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in low], pa.binary()), b.column(2), b.column(1)], ["rep", "mini", "n", "sig"])
+
+    mini = classes.select("rep", "sig", "n").mapInArrow(minis, "rep bigint, mini binary, n bigint, sig binary")
+    members = written(shared.join(mini.drop("sig").hint("merge"), "rep"), "members")
+    tried = candidates(members, percent)
+    if crowded is not None:
+        # the signature from the tree's start on, less what all of the region share, then from its beginning
+        place = F.expr(f"substring(concat(sig, sig), int({4 * STRIDE} * tree + {4 * DEPTHS[-1]}) % {4 * HASHES} + 1, {4 * 16})").alias("place")
+        crowded = written(crowded.join(mini.hint("merge"), "rep").select("key", "rep", "mini", "n", place), "crowded")
+        tried = tried.union(neighbours(crowded, percent)).distinct()
+    tried = written(tried, "tried")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t or "").tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["rep", "items"])
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
+    def sets_of(reps: DataFrame) -> DataFrame:
         # each class once: a repeated id gives all its sets, whichever of them links
-        needed = written(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), "needed")
+        needed = written(reps.toDF("_id").distinct(), "needed")
         return written(docs.join(small(needed, 16), F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "text").mapInArrow(full, "rep bigint, items binary").distinct(), "sets")
 
-    sets = sets_of(tried)
-    links = written(confirm(tried, sets, percent), "links")
+    links = written(confirm(tried, sets_of(tried.select("a").union(tried.select("b"))), percent), "links")
     labels = components(links)
-    label = F.coalesce(F.col("label"), F.col("rep"))
-    again = written(candidates(members.join(labels, "rep", "left").select("key", "rep", "mini", label.alias("label")), apart=True).join(tried, ["a", "b"], "left_anti"), "again")
-    more = written(confirm(again, sets, percent), "links")
-    if not more.isEmpty():
-        links = links.union(more)
-        labels = components(links)
-    best, most = OFFERED, 0 if crowded is None else 1
-    while most:
-        offered, most = across(crowded, mini, labels, best)
-        offered = written(offered, "offered")
-        if not most or offered.isEmpty():
-            break
-        tried = tried.union(again)
-        again = written(offered.join(tried, ["a", "b"], "left_anti"), "again")
-        more = written(confirm(again, sets_of(again), percent), "links")
+    apart = written(involved(tiles(members, crowded, labels), percent), "involved")
+    if not apart.isEmpty():
+        more = written(exact(apart, sets_of(apart.select("rep")), percent), "links")
         if not more.isEmpty():
-            links = links.union(more)
-            labels = components(links)
-        if best >= most:
-            break
-        best *= MORE
+            labels = components(links.union(more))
+    label = F.coalesce(F.col("label"), F.col("rep"))
     # classes of one document that reached nothing smaller need no join: their component is themselves
     told = classes.join(labels, "rep", "left").filter((F.col("copies") > 1) | F.col("label").isNotNull())
     told = told.select("set_key", label.alias("component"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
