@@ -207,6 +207,11 @@ def dir_name(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*?)[/\\]+[^/\\]*[/\\]*$", 1)
 
 
+def scan_root(path: Column, file_id: Column) -> Column:
+    """The folder that was scanned: a file's path less the components of its id."""
+    return F.regexp_replace(F.substring(path, F.lit(1), F.greatest(F.lit(0), F.length(path) - F.length(file_id))), r"[/\\]+$", "")
+
+
 def is_plain_absolute(path: Column) -> Column:
     """Absolute, with no `.` or `..` component."""
     return path.rlike(r"^(/|[A-Za-z]:[/\\])") & ~path.rlike(r"(^|[/\\])\.{1,2}([/\\]|$)")

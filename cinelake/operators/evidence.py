@@ -49,6 +49,18 @@ def conflict_text(kind: Column, path: Column, file_ids: Column) -> Column:
     )
 
 
+def untouched_summary(reasons: Column, verb: str = "renamed") -> Column:
+    """What stays as it is, in a sentence; null if nothing does. reasons: struct(path, reason) in order."""
+    of = lambda kind: F.filter(reasons, lambda r: r["reason"] == kind)
+    names = lambda rows: F.transform(rows, lambda r: T.base_name(r["path"]))
+    extras, skipped = names(of("extra")), F.size(of("skipped"))
+    few = F.when(F.size(extras) > 3, F.concat(F.array_join(F.slice(extras, 1, 3), ", "), F.lit(", …"))).otherwise(F.array_join(extras, ", "))
+    extra = F.when(F.size(extras) == 1, F.concat(F.element_at(extras, 1), F.lit(" (extra)"))).when(F.size(extras) > 1, F.concat(F.size(extras).cast("string"), F.lit(" extras ("), few, F.lit(")")))
+    parts = F.concat(F.transform(names(of("playAll")), lambda n: F.concat(n, F.lit(" (play all)"))), F.array_compact(F.array(extra, F.when(skipped > 0, T.plural(skipped, "skipped or unchecked file")))))
+    listed = F.when(F.size(parts) > 1, F.concat(F.array_join(F.slice(parts, 1, F.size(parts) - 1), ", "), F.lit(" and "), F.element_at(parts, -1))).otherwise(F.try_element_at(parts, F.lit(1)))
+    return F.when(F.size(reasons) > 0, F.concat(F.lit(f"Not {verb}: "), listed, F.when(F.size(reasons) == 1, " stays as it is.").otherwise(" stay as they are.")))
+
+
 def align(a: list[str], b: list[str]) -> tuple[list[bool], list[bool]]:
     """Which words of two runs pair off in order: equal, sounding alike, or nearly so."""
     codes = {w: phonetic.phonetic_code(w) for w in {*a, *b}}

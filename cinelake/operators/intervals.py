@@ -82,6 +82,13 @@ def speed(runs: DataFrame, keys: list[str], prior: float, weight_s: float = 60.0
     return runs.groupBy(*keys).agg(((F.lit(weight_s) + F.sum("audio_s")) / (F.lit(weight_s / prior) + F.sum("compute_s"))).alias("speed"))
 
 
+def prior_speed(accelerated: Column, model: Column) -> Column:
+    """Audio seconds a second that a job starts from, until its own runs tell."""
+    # By processor and model.
+    fast = model == "fast"
+    return F.when(accelerated, F.when(fast, 40.0).otherwise(15.0)).otherwise(F.when(fast, 4.0).otherwise(1.0))
+
+
 def use_vad(duration: Column, mostly_music: Column, cfg: Sampling = SAMPLING) -> Column:
     """Whether speech detection pays: a long file that is not music."""
     return F.coalesce(~mostly_music & ~F.isnan(duration) & (F.abs(duration) != float("inf")) & (duration > cfg.whole_s), F.lit(False))

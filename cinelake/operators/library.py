@@ -136,3 +136,45 @@ def scaled_candidates(found: DataFrame, keys: list[str]) -> DataFrame:
     """Search results' scores as shares of the best, within 0..1."""
     top = F.max("score").over(Window.partitionBy(*keys))
     return found.withColumn("score", F.when(top > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") / top))).otherwise(0.0))
+
+
+def season_filter(episodes: DataFrame, seasons: list[int] | None) -> DataFrame:
+    """Episodes of the chosen seasons, all where none is chosen. A choice that leaves none raises."""
+    if not seasons:
+        return episodes
+    kept = episodes.filter(F.col("season").isin(seasons))
+    if kept.isEmpty():
+        raise ValueError(f"no episode is of the seasons {seasons}")
+    return kept
+
+
+def single_subtitle(subtitles: DataFrame, keys: list[str]) -> DataFrame:
+    """The first listed subtitle of each episode that is not for the hearing impaired, else the first."""
+    return first_by(subtitles.filter(F.col("url") != ""), keys, F.coalesce("hi", F.lit(False)), "pos")
+
+
+def season_texts(packs: DataFrame, covers: DataFrame, singles: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Which subtitle serves each wanted episode: the best pack for what it covers, single subtitles for the rest."""
+    pack = best_pack(packs, covers, wanted, keys).select(*keys, "pack", "url")
+    by_pack = wanted.select(*keys, "episode").distinct().join(covers.select(*keys, "pack", "episode").distinct(), [*keys, "episode"]).join(pack, [*keys, "pack"])
+    served = by_pack.select(*keys, "episode", "url", F.lit("pack").alias("via"))
+    lacking = wanted.select(*keys, "episode").distinct().join(served, [*keys, "episode"], "left_anti")
+    rest = single_subtitle(singles.join(lacking, [*keys, "episode"], "left_semi"), [*keys, "episode"])
+    return served.unionByName(rest.select(*keys, "episode", "url", F.lit("single").alias("via")))
+
+
+def archive_episodes(entries: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
+    """The episode of each archive entry: as listed by its base name (case aside), else by its name's marker; the first entry of an episode serves it.
+
+    entries: pos, name; listed: name, season, episode."""
+    base = lambda c: F.lower(T.base_name(F.col(c)))
+    told = listed.select(*keys, base("name").alias("_base"), F.struct("season", "episode").alias("_listed")).dropDuplicates([*keys, "_base"])
+    found = entries.withColumn("_base", base("name")).join(told, [*keys, "_base"], "left")
+    at = F.coalesce("_listed", T.episode_marker(T.base_name(F.col("name"))))
+    return first_by(found.select(*keys, "pos", "name", at["season"].alias("season"), at["episode"].alias("episode")).filter("episode is not null"), [*keys, "season", "episode"], "pos")
+
+
+def flag_guess(found: DataFrame, query: Column, guess: Column) -> DataFrame:
+    """Adds `from_folder`: whether what was searched for is the name guessed from the folder, white space and case aside."""
+    plain = lambda c: F.lower(F.trim(c))
+    return found.withColumn("from_folder", F.coalesce(plain(query) == plain(guess), F.lit(False)))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from cinelake.functions import naming
 from cinelake.functions import text as T
 
 
@@ -118,3 +121,35 @@ def next_to_review(items: DataFrame, keys: list[str], at: Column) -> DataFrame:
     pending = F.col("category") == "check"
     after, before = F.min(F.when(pending & (F.col("idx") > at), F.col("idx"))), F.min(F.when(pending & (F.col("idx") < at), F.col("idx")))
     return items.groupBy(*keys).agg(F.coalesce(after, before, F.least(F.max(at) + 1, F.max("idx"))).alias("next_idx"))
+
+
+def recent_jobs(jobs: DataFrame, matches: DataFrame, limit: int = 20) -> DataFrame:
+    """The jobs that finished last: files but the play-all, and those to review unless the job was saved.
+
+    jobs: job_id, finished_ms (null while it runs), saved; matches: job_id, verdict. Only the last are joined with their matches."""
+    last = jobs.filter("finished_ms is not null").orderBy(F.desc("finished_ms"), F.desc("job_id")).limit(limit)
+    files = matches.join(F.broadcast(last.select("job_id")), "job_id", "left_semi").groupBy("job_id").agg(F.count_if(F.col("verdict") != "PlayAll").alias("file_count"), F.count_if(F.col("verdict") == "Check").alias("_check"))
+    told = last.join(files, "job_id", "left")
+    return told.select("job_id", "finished_ms", "saved", F.coalesce("file_count", F.lit(0)).alias("file_count"), F.when(F.col("saved"), 0).otherwise(F.coalesce("_check", F.lit(0))).cast("bigint").alias("to_review"))
+
+
+def build_plan(files: DataFrame, decisions: DataFrame, matches: DataFrame, episodes: DataFrame, show: tuple[str, int | None], scheme: str, root: str, job: str = "job_id") -> tuple[DataFrame, DataFrame]:
+    """(items by target path, files that stay with the reason) of a rename. files: file_id, path, role, size_bytes."""
+    name, year = show
+
+    @F.pandas_udf(StringType())
+    def rendered(season: pd.Series, number: pd.Series, title: pd.Series, ext: pd.Series) -> pd.Series:
+        rows = zip(season, number, title, ext, strict=True)
+        return pd.Series([None if pd.isna(s) or pd.isna(n) else naming.render(scheme, name, year, int(s), int(n), t, e) for s, n, t, e in rows])
+
+    placed = placements(files, decisions, matches, episodes, job)
+    item = F.col("outcome") == "item"
+    to = F.concat(F.lit(root.rstrip("/") + "/"), rendered(F.when(item, F.col("season")), F.col("number"), F.col("title"), T.extension(F.col("path"))))
+    items = placed.filter(item).select(job, "file_id", F.col("path").alias("from"), to.alias("to"), "season", "number", "title", "size_bytes").orderBy(job, "to")
+    return items, placed.filter(~item).select(job, "file_id", "path", F.col("outcome").alias("reason"))
+
+
+def file_progress(matches: DataFrame, keys: list[str]) -> DataFrame:
+    """How many files but the play-all there are, and how many are done."""
+    counted = F.col("verdict").isNull() | (F.col("verdict") != "PlayAll")
+    return matches.groupBy(*keys).agg(F.count_if(counted & F.col("status").isin("done", "failed")).alias("done"), F.count_if(counted).alias("total"))

@@ -39,6 +39,44 @@ def combine(dialogue: Column, title: Column, duration: Column, order: Column, ga
     return _clamp(mean * F.when(gate & dialogue.isNotNull(), identity).otherwise(1.0))
 
 
+def heard_gate(n_words: Column, n_content: Column, best_title: Column, dialogue: Column, title: Column, cfg: Matching = MATCHING) -> tuple[Column, Column]:
+    """(dialogue, title) as far as enough was heard to measure them. best_title: the file's best title score over all episodes; where one
+    was heard, the others' count as 0 even if little else was. Without any word a title is not measured."""
+    enough = n_content >= cfg.min_content_words
+    told = F.when((n_words > 0) & (enough | (F.coalesce(best_title, F.lit(0.0)) > 0)), F.coalesce(title, F.lit(0.0)))
+    return F.when(enough, dialogue), told
+
+
+def input_problems(files: DataFrame, positions: DataFrame, job: str = "job_id") -> DataFrame:
+    """problem, file_id of what a job cannot be matched with: files listed twice, and places on the disc of files not listed."""
+    twice = files.groupBy(job, "file_id").agg(F.count("*").alias("_n")).filter("_n > 1").select(job, F.lit("listedTwice").alias("problem"), "file_id")
+    unknown = positions.select(job, "file_id").distinct().join(files.select(job, "file_id"), [job, "file_id"], "left_anti")
+    return twice.unionByName(unknown.select(job, F.lit("unknownInOrder").alias("problem"), "file_id"))
+
+
+def play_all_match(found: DataFrame, keys: list[str]) -> DataFrame:
+    """The result row of each play-all file: certain, and without candidates."""
+    return found.filter("is_play_all").select(*keys, "file_id", F.lit("PlayAll").alias("verdict"), F.lit(1.0).alias("score"), F.lit(1.0).alias("margin"))
+
+
+def missing_titles(scans: DataFrame) -> DataFrame:
+    """Adds `warning` to scans (n_candidates, n_chapters, matched): the disc's play-all has more chapters than there are files, though half of these are its chapters."""
+    few = (F.col("n_chapters") > F.col("n_candidates")) & (2 * F.col("matched") >= F.col("n_candidates"))
+    return scans.withColumn("warning", F.when(few, "missingShortTitles"))
+
+
+def chapter_pairs(chapters: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
+    """Chapters and files of like length (within 2 s or 1 %), with how far they are off.
+
+    A band join by buckets of the logarithm of the length: a file meets the chapters of the few buckets that its band touches."""
+    # lengths below a minute share a bucket
+    bucket = lambda c: F.floor(F.log(F.greatest(c, F.lit(60.0))) / F.log(F.lit(1.05))).cast("int")
+    band = F.greatest(F.lit(2.0), 0.01 * F.col("duration_s"))
+    near = files.withColumn("_b", F.explode(F.sequence(bucket(F.col("duration_s") - band), bucket(F.col("duration_s") + band))))
+    met = chapters.withColumn("_b", bucket(F.col("chapter_s"))).join(near, [*keys, "_b"]).withColumn("off", F.abs(F.col("chapter_s") - F.col("duration_s")))
+    return met.filter(F.col("off") <= F.greatest(F.lit(2.0), 0.01 * F.col("duration_s"))).drop("_b")
+
+
 def identity_support(dialogue: Column, title: Column, cfg: Matching = MATCHING) -> Column:
     return F.coalesce(dialogue >= cfg.identity_dialogue, F.lit(False)) | F.coalesce(title >= cfg.identity_title, F.lit(False))
 
@@ -70,8 +108,8 @@ def top_candidates(ranks: DataFrame, file_keys: list[str], episode: str, assigne
     """The best five; an assigned episode beyond them takes the last one's place."""
     k = cfg.kept_candidates
     far = F.max(F.when(F.col(episode) == F.col(assigned), F.col("place"))).over(Window.partitionBy(*file_keys))
-    keep = (F.col("place") < k) | ((F.col("place") == k) & (F.coalesce(far, F.lit(0)) <= k)) | (F.col(episode) == F.col(assigned))
-    return ranks.filter(keep)
+    keep = (F.col("place") < k) | ((F.col("place") == k) & (F.coalesce("_far", F.lit(0)) <= k)) | (F.col(episode) == F.col(assigned))
+    return ranks.withColumn("_far", far).filter(keep).drop("_far")
 
 
 def disc_slots(positions: DataFrame, job: str = "job_id") -> DataFrame:
@@ -129,8 +167,7 @@ def play_all(files: DataFrame, keys: list[str], chapters: DataFrame | None = Non
         top = top.withColumn("n_chapters", F.lit(0)).withColumn("matched", F.lit(0))
     else:
         own = chapters.filter("chapter_s > 0").join(top.select(*keys, "file_id"), [*keys, "file_id"]).withColumn("chapter_no", F.monotonically_increasing_id())
-        pairs = own.join(placed.filter("_n > 1").select(*keys, F.col("file_id").alias("other_id"), "duration_s"), keys).withColumn("off", F.abs(F.col("chapter_s") - F.col("duration_s")))
-        pairs = pairs.filter(F.col("off") <= F.greatest(F.lit(2.0), 0.01 * F.col("duration_s")))
+        pairs = chapter_pairs(own.drop("file_id"), placed.filter("_n > 1").select(*keys, F.col("file_id").alias("other_id"), "duration_s"), keys)
         matched = pairs.groupBy(*keys).applyInPandas(lambda k, rows: _closest_pairs(k, rows, keys), ", ".join(f"{k} {dict(files.dtypes)[k]}" for k in keys) + ", matched int")
         top = top.join(own.groupBy(*keys).agg(F.count("*").cast("int").alias("n_chapters")), keys, "left").join(matched, keys, "left").fillna(0, ["n_chapters", "matched"])
     fraction = F.col("matched") / (F.col("candidates") - 1)

@@ -82,3 +82,13 @@ def unusable(failed: Column, embedded: Column, n_segments: Column) -> Column:
 def sampled_windows(duration: Column, covered: Column, n_windows: Column) -> Column:
     """How many windows a long file was sampled by; null if it was heard whole."""
     return F.when((duration > 360) & (covered + 1 < duration), n_windows)
+
+
+def heard_text(embedded: Column, transcript: Column) -> Column:
+    """What a file says: its embedded subtitles where they aren't blank, else what was heard."""
+    return F.coalesce(F.when(F.trim(embedded) != "", embedded), transcript)
+
+
+def average_logprob(tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """avg_logprob of each segment over its text tokens; 0 without any. tokens: logprob, is_text."""
+    return tokens.groupBy(*keys).agg(F.coalesce(F.avg(F.when(F.col("is_text"), F.col("logprob"))), F.lit(0.0)).alias("avg_logprob"))

@@ -11,7 +11,7 @@ from cinelake.operators import assignment, coverage, library, renames, segments
 from cinelake.sources import cache, probe
 from cinelake.streaming import folds
 
-from .tables import broadcast_if_small, table
+from .tables import broadcast_if_small, table, written
 
 
 def win05_aired_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def agg18_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def joi12_reference_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as episodes: texts from their labels' provider first, then by language, then whatever has a summary."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", F.substring("text", 1, 40).alias("summary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", F.col("text").alias("summary"))
     labels = table(spark, sf_dir, "labels")
     first = labels.filter("quality = 1").select("doc_id", F.lit("subtitles").alias("kind"), F.lit("label").alias("text"))
     second = docs.filter("lang = 'en'").select("doc_id", F.lit("lyrics").alias("kind"), F.col("source").alias("text"))
@@ -66,7 +66,7 @@ _CASCADE_SQL = """
 WITH a AS (SELECT DISTINCT doc_id, 'subtitles' AS kind, 'label' AS text FROM labels WHERE quality = 1 AND doc_id IN (SELECT doc_id FROM documents)),
 b AS (SELECT DISTINCT doc_id, 'lyrics' AS kind, source AS text FROM documents WHERE lang = 'en' AND doc_id NOT IN (SELECT doc_id FROM a)),
 t AS (SELECT * FROM a UNION ALL SELECT * FROM b)
-SELECT * FROM t UNION ALL SELECT doc_id, 'summary', '' FROM documents WHERE n_chars > 500 AND trim(substr(text, 1, 40)) <> '' AND doc_id NOT IN (SELECT doc_id FROM t)
+SELECT * FROM t UNION ALL SELECT doc_id, 'summary', '' FROM documents WHERE n_chars > 500 AND trim(text) <> '' AND doc_id NOT IN (SELECT doc_id FROM t)
 """
 
 
@@ -153,18 +153,6 @@ SELECT entry, op, intent_line, "to", coalesce(status, 'unknown') AS status FROM
 """
 
 
-def top06_recent_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twenty orders that finished last."""
-    done = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
-    return done.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(20).select("o_orderkey", "o_custkey")
-
-
-def agg22_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of each status by customer, none as 0."""
-    wide = table(spark, sf_dir, "orders").groupBy("o_custkey").pivot("o_orderstatus", ["F", "O", "P"]).count().fillna(0, ["F", "O", "P"])
-    return wide.select("o_custkey", F.col("F").alias("n_f"), F.col("O").alias("n_o"), F.col("P").alias("n_p"))
-
-
 def pln02_plan_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of a brand renamed to their name: whose targets coincide or are there."""
     parts = table(spark, sf_dir, "part")
@@ -339,12 +327,13 @@ def joi03_phrase_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .matching import tfidf_cosine_topk
 
     items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    near = tfidf_cosine_topk(spark, sf_dir).select("item_id", "doc_id")
+    near = written(tfidf_cosine_topk(spark, sf_dir).select("item_id", "doc_id"), "near")
     wanted = broadcast_if_small(near.select("doc_id").distinct(), 16)
-    heard = coverage.tokens(items, ["item_id"])
+    heard = written(coverage.tokens(items, ["item_id"]), "heard")
     frequency = heard.select("item_id", F.col("word").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("df"))
     phrases = coverage.phrases(heard, frequency, F.lit(items.count()), ["item_id"])
-    found = coverage.phrase_coverage(heard, coverage.tokens(docs.join(wanted, "doc_id", "left_semi"), ["doc_id"]), phrases, "item_id", "doc_id", pairs=near)
+    told = written(coverage.tokens(docs.join(wanted, "doc_id", "left_semi"), ["doc_id"]), "told")
+    found = coverage.phrase_coverage(heard, told, written(phrases, "phrases"), "item_id", "doc_id", pairs=near)
     return found.select("item_id", "doc_id", F.round("coverage", 6).alias("coverage"))
 
 
@@ -365,11 +354,6 @@ def ker04_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assignment.assign(rows, "l_orderkey", "file", "episode")
 
 
-def agg25_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
-    return assignment.agreement(rows, "user_id", "event_id", "value").select("user_id", F.round("agreement", 6).alias("agreement"))
-
-
 def sca43_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered paths of orders as episodes. The template and names go through the naming kernel in Arrow batches."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"), "o_orderpriority", "o_custkey")
@@ -397,9 +381,9 @@ def sca31_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     win05_aired_numbering, win08_group_numbering, agg18_counts, joi12_reference_cascade, top04_best_pack, top03_best_record, snk01_cache_latest, src16_cache_freshness, snk02_cache_purge,
-    str01_event_fold, str02_journal_replay, top06_recent_jobs, agg22_category_counts, pln02_plan_conflicts, snk03_csv_rows, joi19_shared_episodes, win01_repeat_filter, agg17_matching_text,
+    str01_event_fold, str02_journal_replay, pln02_plan_conflicts, snk03_csv_rows, joi19_shared_episodes, win01_repeat_filter, agg17_matching_text,
     sca26_compression_filter, sca38_strip_html, sca16_name_keys, sca20_markers, sca50_formats, fil01_roles, agg14_musical, top09_scaled_candidates, sca01_tokenize, joi03_phrase_coverage,
-    joi04_title_hook, ker04_assignment, agg25_agreement, sca43_paths, sca31_dialogue,
+    joi04_title_hook, ker04_assignment, sca43_paths, sca31_dialogue,
 )}
 ORACLE_SQL = {
     "win05_aired_numbering": _AIRED_SQL,
@@ -413,8 +397,6 @@ ORACLE_SQL = {
     "snk02_cache_purge": "WITH e AS (SELECT event_id, event_type AS provider, epoch_ms(ts) AS t, max(epoch_ms(ts)) OVER () + 160 * 86400000::BIGINT AS now FROM events) SELECT event_id, provider FROM e WHERE NOT (provider = 'click' AND now - t > 183 * 86400000::BIGINT)",
     "str01_event_fold": _FOLD_SQL,
     "str02_journal_replay": _JOURNAL_SQL,
-    "top06_recent_jobs": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20",
-    "agg22_category_counts": "SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS n_f, count(*) FILTER (o_orderstatus = 'O') AS n_o, count(*) FILTER (o_orderstatus = 'P') AS n_p FROM orders GROUP BY o_custkey",
     "pln02_plan_conflicts": _CONFLICT_SQL,
     "snk03_csv_rows": _CSV_SQL,
     "joi19_shared_episodes": _SHARED_SQL,

@@ -5,32 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cinelake.operators import audio, intervals, scoring, tfidf
+from cinelake.functions import words
+from cinelake.operators import audio, coverage, intervals, matching, scoring, tfidf
+
+from .tables import broadcast_if_small, table, written
+
+
+def _words_sql(text: str = "text") -> str:
+    """A text's words, as `tfidf.words_of` has them."""
+    folded = f"translate(lower(coalesce({text}, '')), '{tfidf.FOLD_FROM}', '{tfidf.FOLD_TO}')"
+    for base, letter in (("ss", "ß"), ("ae", "æ"), ("oe", "œ")):
+        folded = f"replace({folded}, '{letter}', '{base}')"
+    return f"regexp_extract_all({folded}, '[\\pL\\pN]+')"
 
-from .tables import broadcast_if_small, table
 
 def _terms_sql(key: str, name: str, p: str) -> str:
     """CTEs of the terms of a table's texts: {p}c has id, term, tf."""
     return (
-        f"{p}d AS (SELECT {key} AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM {name}), "
+        f"{p}d AS (SELECT {key} AS id, {_words_sql()} AS w FROM {name}), "
         f"{p}t AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM {p}d), "
         f"{p}c AS (SELECT id, term, count(*) AS tf FROM {p}t GROUP BY ALL)"
     )
 
 
-def _weighted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Weights of benchmark items (queries) and documents under the documents' idf."""
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    n = docs.agg(F.count("*").alias("n")).first()["n"]
-    asked = tfidf.term_counts(items, ["item_id"])
-    counts = tfidf.term_counts(docs, ["doc_id"])
-    frequency = tfidf.document_frequency(counts)
-    return tfidf.weights(asked, frequency, F.lit(n), ["item_id"]), tfidf.weights(counts, frequency, F.lit(n), ["doc_id"])
-
-
 def _cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries, docs = _weighted(spark, sf_dir)
-    return tfidf.cosines(broadcast_if_small(queries, 64), docs, "item_id", "doc_id")
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    counts = written(tfidf.term_counts(docs, ["doc_id"]), "terms")
+    asked = broadcast_if_small(written(tfidf.term_counts(items, ["item_id"]), "asked"), 64)
+    return tfidf.nearest(asked, counts, F.lit(docs.count()), "item_id", "doc_id")
 
 
 _COSINE_SQL = (
@@ -64,22 +66,19 @@ def agg01_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agg02_idf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequency and idf of every term of the corpus."""
     docs = table(spark, sf_dir, "documents")
-    frequency = tfidf.document_frequency(tfidf.term_counts(docs, ["doc_id"]))
+    frequency = tfidf.term_frequency(docs)
     return frequency.select("term", "df", F.round(tfidf.idf(F.lit(docs.count()), F.col("df")), 6).alias("idf"))
 
 
 def agg05_typical_phrase_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean over all phrases of the idf of their words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tokens = tfidf.split_words(docs, ["doc_id"])
-    frequency = tokens.select("doc_id", "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.count()
-    phrases = tfidf.phrase_weights(tokens, frequency, F.lit(n), ["doc_id"])
+    frequency = broadcast_if_small(written(tfidf.term_frequency(docs, pairs=False), "frequency"), 48)
+    phrases = tfidf.phrase_weights(docs, frequency, F.lit(docs.count()), ["doc_id"])
     return phrases.agg(F.count("*").alias("n_phrases"), F.round(F.avg("weight"), 6).alias("typical_weight"))
 
 
-_PHRASE_SQL = """
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
+_PHRASE_SQL = "WITH d AS (SELECT doc_id, " + _words_sql() + """ AS w FROM documents),
 t AS (SELECT doc_id, len(w) AS n, unnest(w) AS term, unnest(range(len(w))) AS pos FROM d),
 f AS (SELECT term, count(DISTINCT doc_id) AS df FROM t GROUP BY term), n AS (SELECT count(*) AS docs FROM documents),
 p AS (SELECT doc_id, least(pos // 6, greatest(0, (n + 3) // 6 - 1)) AS phrase, sum(ln(1 + (docs - df + 0.5) / (df + 0.5))) AS weight FROM t JOIN f USING (term), n GROUP BY ALL)
@@ -92,20 +91,18 @@ def agg10_summary_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
     n = items.count()
     keywords = broadcast_if_small(tfidf.summary_keywords(tfidf.split_words(items, ["item_id"]), F.lit(n), ["item_id"]), 48)
-    heard = tfidf.split_words(docs, ["doc_id"]).select("doc_id", "term").distinct()
+    heard = docs.select("doc_id", F.explode(F.array_distinct(tfidf.words_of(F.col("text")))).alias("term"))
     total = keywords.groupBy("item_id").agg(F.sum("w").alias("all_w"))
     hit = heard.join(keywords, "term").groupBy("item_id", "doc_id").agg(F.sum("w").alias("hit_w"))
-    scored = hit.join(F.broadcast(total), "item_id").withColumn("score", F.round(tfidf.summary_score(F.col("hit_w") / F.col("all_w")), 6))
+    scored = hit.join(broadcast_if_small(total, 24), "item_id").withColumn("score", F.round(tfidf.summary_score(F.col("hit_w") / F.col("all_w")), 6))
     best = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("place", F.row_number().over(best)).filter("place = 1").select("item_id", "doc_id", "score")
 
 
-_SUMMARY_SQL = """
-WITH k0 AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS term FROM benchmark),
-k1 AS (SELECT * FROM k0 WHERE length(term) >= 3), n AS (SELECT count(*) AS n FROM benchmark), f AS (SELECT term, count(*) AS df FROM k1 GROUP BY term),
+_SUMMARY_SQL = "WITH k0 AS (SELECT DISTINCT item_id, unnest(" + _words_sql() + ") AS term FROM benchmark), h AS (SELECT DISTINCT doc_id, unnest(" + _words_sql() + ") AS term FROM documents), " + f"""
+k1 AS (SELECT * FROM k0 WHERE length(term) >= 3 AND NOT list_contains(string_split('{" ".join(sorted(words.STOPWORDS))}', ' '), term)), n AS (SELECT count(*) AS n FROM benchmark), f AS (SELECT term, count(*) AS df FROM k1 GROUP BY term),
 k AS (SELECT item_id, term, greatest(ln(1 + (n - df + 0.5) / (df + 0.5)), 0.05) AS w FROM k1 JOIN f USING (term), n),
 a AS (SELECT item_id, sum(w) AS all_w FROM k GROUP BY item_id),
-h AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS term FROM documents),
 s AS (SELECT item_id, doc_id, round(0.8 * greatest(0.0, least(1.0, (sum(w) / any_value(all_w) - 0.1) / 0.5)), 6) AS score FROM h JOIN k USING (term) JOIN a USING (item_id) GROUP BY ALL)
 SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r = 1
 """
@@ -335,10 +332,46 @@ def agg26_offset_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.correlations(pairs, ["query_id", "vec_id"], 1)
 
 
+def joi05_summary_by_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each benchmark item's keyword weight is heard in each conversation turn, by word or by sound: the best turn."""
+    items, turns = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "conversations")
+    tokens = written(coverage.tokens(items, ["item_id"]), "tokens")
+    weights = tfidf.summary_keywords(tokens.select("item_id", F.col("word").alias("term")), F.lit(items.count()), ["item_id"])
+    keywords = written(weights.join(tokens.select("item_id", F.col("word").alias("term"), "code").distinct(), ["item_id", "term"]).withColumnRenamed("term", "word"), "keywords")
+    heard = written(coverage.tokens(turns.select(F.struct("conv_id", "turn").alias("at"), "text"), ["at"]), "heard")
+    scored = coverage.summary_scores(broadcast_if_small(keywords, 64), heard, "item_id", "at")
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc(F.round("score", 6)), "at"))
+    return scored.withColumn("place", place).filter("place = 1").select("item_id", "at.conv_id", "at.turn", F.round("score", 6).alias("score"))
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Conversations as jobs: their turns are episodes with reference texts, and files that heard the middle of one, in another order."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    told = F.split("text", " ")
+    episodes = turns.select(F.col("conv_id").alias("job_id"), F.col("turn").cast("int").alias("ord"), F.when(F.col("turn") % 5 == 4, 0).otherwise(1).alias("season"), F.col("turn").cast("int").alias("number"), F.array_join(F.slice(told, 2, 3), " ").alias("title"), (F.size(told) * 30.0).alias("runtime_s"), F.when(F.col("turn") % 3 == 2, F.col("text")).alias("summary"))
+    texts = turns.filter("turn % 3 != 2").select(F.col("conv_id").alias("job_id"), F.when(F.col("turn") % 5 == 4, 0).otherwise(1).alias("season"), F.col("turn").cast("int").alias("number"), F.when(F.col("turn") % 3 == 0, "subtitles").otherwise("lyrics").alias("kind"), F.lit(0).alias("pos"), "text")
+    middle = F.array_join(F.slice(told, F.floor(F.size(told) / 10).cast("int") + 1, F.greatest(F.lit(1), F.floor(F.size(told) * 0.8).cast("int"))), " ")
+    files = turns.select(F.col("conv_id").alias("job_id"), F.concat(F.lit("file "), 97 - F.col("turn")).alias("file_id"), (F.size(told) * 30.0).alias("duration_s"), middle.alias("transcript"), F.when(F.col("turn") % 7 == 6, F.col("text")).alias("embedded_text"), (F.col("turn") % 11 == 10).alias("mostly_music"))
+    positions = turns.filter("conv_id % 2 = 0 and turn % 4 != 3").select(F.col("conv_id").alias("job_id"), F.concat(F.lit("file "), 97 - F.col("turn")).alias("file_id"), F.col("turn").cast("int").alias("order_index"), F.lit(None).cast("int").alias("chapter"), (F.col("turn") * 60.0).alias("start_s"), (F.col("turn") * 60.0 + 60).alias("end_s"))
+    return files, episodes, texts, positions
+
+
+def joi01_score_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file of every job against every episode of it: all signals and the score."""
+    scores = matching.score_all(*_jobs(spark, sf_dir), keep=written)
+    return scores.select("job_id", "file_id", "ord", *(F.round(c, 6).alias(c) for c in ("dialogue", "title", "duration", "order", "content", "score")), "rank")
+
+
+def ker05_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matching run: every file's episode, verdict and best candidates."""
+    found = matching.match_files(*_jobs(spark, sf_dir), keep=written)
+    return found.select("job_id", "file_id", "season", "number", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"), "verdict", "used_order", F.size("candidates").alias("n_candidates"))
+
+
 QUERIES = {f.__name__: f for f in (
     tfidf_cosine_topk, agg01_term_counts, agg02_idf_terms, agg05_typical_phrase_weight, agg10_summary_keywords, sca15_duration_fit, agg11_combine_signals, win10_verdicts,
     agg12_play_all, win03_disc_slots, win04_order_signal, win06_merge_windows, win07_window_gaps, agg16_covered_seconds, agg20_audio_cost, ker10_plan_windows,
-    ker10_escalation_windows, agg21_speed, agg26_vector_correlation, agg26_offset_correlation,
+    ker10_escalation_windows, agg21_speed, agg26_vector_correlation, agg26_offset_correlation, joi05_summary_by_sound, joi01_score_matrix, ker05_matches,
 )}
 ORACLE_SQL = {
     "tfidf_cosine_topk": _TOPK_SQL,

@@ -40,3 +40,8 @@ def retry_after_ms(headers: Column, now_ms: Column) -> Column:
     spent = F.when(number("x-ratelimit-remaining") <= 0, F.coalesce(wait, F.lit(1000.0)))
     asked = F.coalesce(number("retry-after") * 1000, spent)
     return F.when(asked.isNotNull(), F.greatest(F.lit(0.0), asked))
+
+
+def source_status(needs_key: Column, has_key: Column, outcome: Column) -> Column:
+    """How a provider stands: without its key, refused, out of reach, or ready. outcome: of its last request, null before the first."""
+    return F.when(needs_key & ~has_key, "needsKey").when(outcome == "unauthorized", "rejected").when(outcome.isin("network", "rateLimited"), "unavailable").otherwise("ready")

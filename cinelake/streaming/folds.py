@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -71,3 +71,20 @@ def history(records: DataFrame, ops: DataFrame) -> DataFrame:
     items = moves(ops).filter("moved").groupBy("entry").agg(F.count("*").alias("items"))
     shown = begun.join(undone, "entry", "left").join(items, "entry", "left").fillna(0, ["items"]).filter("items > 0 or undone_ms is not null")
     return shown.orderBy(F.desc("created_ms"), F.desc("pos"))
+
+
+def retained(files: DataFrame, deleted: DataFrame) -> DataFrame:
+    """What an entry left behind that is still there: its files and folders less those deleted since. Both: entry, path."""
+    return files.join(deleted.select("entry", "path").distinct(), ["entry", "path"], "left_anti")
+
+
+def undo_plan(ops: DataFrame, disk: DataFrame) -> DataFrame:
+    """What undoing would do to each moved item: back to where it started if the file is as it was left, else why not.
+
+    ops: of `operations`; disk: path, size_bytes, written_bytes (as left by the operation). The last operation of an entry is undone first."""
+    at = disk.select(F.col("path").alias("current"), "size_bytes", "written_bytes")
+    taken = disk.select(F.col("path").alias("original"), F.lit(True).alias("_taken")).distinct()
+    last = ops.filter("status = 'done'").groupBy("entry", "item").agg(F.max("line_no").alias("line_no"))
+    back = moves(ops).filter("moved").join(last, ["entry", "item"]).join(at, "current", "left").join(taken, "original", "left")
+    why = F.when(F.col("size_bytes").isNull(), "missing").when(F.col("size_bytes") != F.col("written_bytes"), "changed").when(F.col("_taken"), "taken").otherwise("back")
+    return back.select("entry", "item", F.col("current").alias("from"), F.col("original").alias("to"), why.alias("action"), F.row_number().over(Window.partitionBy("entry").orderBy(F.desc("line_no"))).alias("turn"))
