@@ -15,8 +15,11 @@ def op1_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two deliveries, which together are the whole table: of the second only what the first one's ledger lacks is scanned."""
     docs = secret_ledger.address(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    ledger = written(secret_ledger.scan_unseen(docs), "ledger")
+    early = F.xxhash64("doc_id") < 0
+    ledger = written(secret_ledger.scan_unseen(docs.filter(early)), "ledger")
+    ledger = ledger.union(written(secret_ledger.scan_unseen(docs.filter(~early), ledger), "ledger"))
     found = secret_ledger.findings(docs, ledger, ["doc_id"])
     base = F.expr("filter(spans, x -> x.kind in ('assign', 'access', 'hex'))")
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")

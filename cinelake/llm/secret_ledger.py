@@ -1,12 +1,13 @@
 """Secret scans over an incremental blob ledger.
 
 Every historical version of every path is content-addressed (SHA-256 of its text). A ledger row says
-which rule versions a blob has been scanned with and what they found. A scan takes only the pairs of blob
+which rule versions a blob has been scanned with and what each of them found. A scan takes only the pairs of blob
 and rule version that the ledger lacks, reads each such blob once, however many paths and versions carry
-it, and joins the findings back to all of them.
+it, and joins the findings back to all of them. What a superseded version found stays in the ledger and out of the findings.
 
-Defined cases: a null text is the empty text; empty texts have no findings; repeated rows and equal texts
-share one blob; an empty table gives empty results; null paths keep their row. Offsets are code points,
+Defined cases: a null text is the empty text; empty texts have no findings; texts of any length are searched whole; repeated rows
+and equal texts share one blob; findings that start together are in the rules' order, and the same span of two ledger rows
+counts once; an empty table gives empty results; null paths keep their row. Offsets are code points,
 ends exclusive. Columns other than those named are ignored.
 """
 
@@ -53,13 +54,13 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
-LEDGER = "blob_id string, scanned array<string>, spans array<struct<kind:string,start:bigint,end:bigint>>"
-_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+LEDGER = "blob_id string, scanned array<string>, spans array<struct<rule:string,kind:string,start:bigint,end:bigint>>"
+_SPANS = pa.list_(pa.struct([("rule", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 _LONG_HEX = re.compile(r"[0-9a-f]{32}")
 
 
-def find(text: str, rules: Iterable[Rule]) -> list[tuple[str, int, int]]:
-    """All spans of `rules` in a whole text, by start, then by the rules' order."""
+def find(text: str, rules: Iterable[Rule]) -> list[tuple[str, str, int, int]]:
+    """All spans (rule version, kind, start, end) of `rules` in a whole text, by start, then by the rules' order."""
     out, low = [], None
     for k, rule in enumerate(rules):
         if rule.needles:
@@ -70,8 +71,8 @@ def find(text: str, rules: Iterable[Rule]) -> list[tuple[str, int, int]]:
             continue
         for m in re.finditer(rule.pattern, text):
             if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                out.append((m.start(), k, rule.kind, m.end()))
-    return [(kind, start, end) for start, _, kind, end in sorted(out)]
+                out.append((m.start(), k, rule.key, rule.kind, m.end()))
+    return [(key, kind, start, end) for start, _, key, kind, end in sorted(out)]
 
 
 def address(versions: DataFrame, text: str = "text") -> DataFrame:
@@ -123,14 +124,15 @@ def findings(versions: DataFrame, ledger: DataFrame, keep: list[str], rules: tup
     versions carries blob_id. Only blobs with findings are joined; the rows of a hot blob are dealt to
     `salts` tasks, for each of which the (few) findings are repeated.
     """
-    order = F.array(*[F.lit(r.kind) for r in rules])
-    now = F.array(*[F.lit(r.key) for r in rules])
+    # a rule's place, 0 for a version that is not current
+    place = lambda x: F.array_position(F.array(*[F.lit(r.key) for r in rules]), x["rule"])
+    current = F.transform(F.filter("spans", lambda x: place(x) > 0), lambda x: F.struct(x["start"], place(x), x["end"], x["kind"]))
     hits = (
-        ledger.filter(F.size("spans") > 0)
-        .filter(F.arrays_overlap("scanned", now))
+        ledger.select("blob_id", current.alias("s"))
+        .filter(F.size("s") > 0)
         .groupBy("blob_id")
-        .agg(F.flatten(F.collect_list("spans")).alias("s"))
-        .select("blob_id", F.transform(F.array_sort(F.transform(F.array_distinct("s"), lambda x: F.struct(x["start"], F.array_position(order, x["kind"]), x["end"], x["kind"]))), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))
+        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s"))
+        .select("blob_id", F.transform("s", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     salted = versions.select(*keep, "blob_id", F.pmod(F.xxhash64(*keep), F.lit(salts)).cast("int").alias("_salt"))
@@ -139,7 +141,7 @@ def findings(versions: DataFrame, ledger: DataFrame, keep: list[str], rules: tup
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, salts: int = 8) -> DataFrame:
-    """Documents with each finding replaced by `[REDACTED:kind]`; n_chars follows. Other columns and rows stay, whatever they are called."""
+    """Documents with each finding of `rules` replaced by `[REDACTED:kind]`; n_chars follows. Other columns and rows stay, whatever they are called."""
     set_batches(docs.sparkSession)
     safe, restored = shielded(docs)
     addressed = address(safe).withColumn("_salt", F.pmod(F.xxhash64(*[c for c in safe.columns if c != "text"]), F.lit(salts)).cast("int"))
