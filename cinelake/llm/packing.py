@@ -3,13 +3,15 @@
 Every text is tokenised whole and ends with a separator id; only documents longer than a sequence are cut.
 How many pieces have each length is all the plan needs: at most `capacity` counts. A configuration is a
 multiset of lengths that fits a sequence. The program "fewest configurations that cover all counts" is
-solved by multiplicative weights: each length has a weight, an unbounded-knapsack dynamic program prices the
-best configuration under them, and lengths it covers lose weight. The mean of the full
-configurations is rounded down to whole sequences without ever covering a count twice; what is left goes
-by best fit decreasing. Each piece then finds its place from its rank within its length, by arithmetic.
+solved by multiplicative weights, at every size: each length has a weight, an unbounded-knapsack dynamic program prices the
+best configurations under them, and lengths they cover lose weight. The prices also bound what any packing needs.
+Rounding takes full configurations whole, the program's first, then such as a bounded knapsack prices for the counts left; best fit
+decreasing packs what fills no sequence. Each piece then finds its place from its rank within its length, by arithmetic.
 
 Defined cases: a null text is the empty text (one separator); repeated rows are pieces of their own;
-null ids keep their rows; an empty table gives an empty plan and an empty result.
+null ids keep their rows; texts of any length are tokenised whole; pieces of equal length are ranked by (salt, doc_id, piece, checksum), and
+ties beyond that are equal pieces, so that any of them may come first; strings of the tokenizer's special tokens are those
+tokens, as in the library's plain call; columns but doc_id and text are ignored; an empty table gives an empty plan and an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +44,15 @@ _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 
 class WordTokenizer:
     """The library's ids. Lower-casing and word splitting of texts within the first 256 code points (all of them in normal
-    form C) happen here, and each distinct word is asked once; other texts go to the library whole."""
+    form C) happen here, and each distinct word is asked once; other texts go to the library whole, as do those with its special tokens."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True  # their strings in a text are ordinary text
+        # their strings in a text are one token each: such texts go to the library whole
+        self.special = [t.content for t in self.t.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
 
     def _ask(self, texts: list[str]) -> list[bytes]:
@@ -69,33 +73,21 @@ class WordTokenizer:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        words: list[list[str] | None] = []
-        for t in texts:
-            try:
-                t.encode("latin-1")
-            except UnicodeEncodeError:
-                words.append(None)
-                continue
-            words.append(_WORD.findall(t.lower()))
-        new = list({w for own in words if own for w in own} - self.memo.keys())
-        known = self.memo
-        if new:
-            got = self._words(new)
-            if len(known) + len(got) <= MEMO:
-                known.update(got)
-            else:
-                known = _Both(got, known)
-        get = known.__getitem__
-        return [self._ask([t])[0] if own is None else b"".join(map(get, own)) for t, own in zip(texts, words, strict=True)]
-
+        words = [_WORD.findall(t.lower()) if _is_latin(t) and not any(x in t for x in self.special) else None for t in texts]
+        found = [[] if own is None else list(map(self.memo.get, own)) for own in words]
+        new = {w for own, got in zip(words, found, strict=True) if None in got for w, ids in zip(own, got, strict=True) if ids is None}
+        made = self._words(list(new)) if new else {}
+        if len(self.memo) + len(made) <= MEMO:
+            self.memo.update(made)
+        return [self._ask([t])[0] if own is None else b"".join([made[w] if ids is None else ids for w, ids in zip(own, got, strict=True)] if None in got else got) for t, own, got in zip(texts, words, found, strict=True)]
 
-class _Both(dict):
-    def __init__(self, first: dict, second: dict):
-        super().__init__(first)
-        self.second = second
 
-    def __missing__(self, key: str) -> bytes:
-        return self.second[key]
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 _held: dict[str, WordTokenizer] = {}
@@ -135,46 +127,117 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int =
 # --- the plan: driver-side, over at most `capacity` counts
 
 
-def price(value: np.ndarray, capacity: int) -> Counter:
-    """The multiset of lengths of most value that fits: an unbounded knapsack. value[l]: of length l, 0 if there is none."""
-    best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for c in range(1, capacity + 1):
-        got = value[1 : c + 1] + best[c - 1 :: -1][:c]
-        l = int(got.argmax()) + 1
-        best[c], pick[c] = got[l - 1], l
-        if best[c - 1] >= best[c]:
-            best[c], pick[c] = best[c - 1], 0
-    out, c = Counter(), capacity
-    while c:
-        if pick[c]:
-            out[int(pick[c])] += 1
-            c -= int(pick[c])
-        else:
-            c -= 1
-    return out
+class Knapsack:
+    """The unbounded knapsack under `value` (of each of `lengths`): for every room the best multiset of lengths that fits."""
+
+    def __init__(self, lengths: np.ndarray, value: np.ndarray, capacity: int):
+        best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+        fits = np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
+        for c in range(1, capacity + 1):
+            n, most, at = fits[c], best[c - 1], 0
+            if n:
+                got = value[:n] + best[c - lengths[:n]]
+                k = got.argmax()
+                if got[k] > most:
+                    most, at = got[k], lengths[k]
+            best[c], pick[c] = most, at
+        self.best, self.pick = best, pick.tolist()
+
+    def config(self, room: int) -> Counter:
+        out: Counter = Counter()
+        while room:
+            if l := self.pick[room]:
+                out[l] += 1
+                room -= l
+            else:
+                room -= 1
+        return out
 
 
-def fractional(counts: dict[int, int], capacity: int, rounds: int, rate: float = 1.0) -> dict[tuple, float]:
-    """Full configurations and how many of each, by multiplicative weights, so that most counts are not exceeded.
+class Program(NamedTuple):
+    """A cover by the program: how many of each configuration; a lower bound of the sequences of any packing, and the prices that
+    prove it: no configuration is worth more than 1."""
 
-    A length's dual price is its share of a sequence times a weight that falls exponentially with how much of
-    its count is served already; each round gives out the best-priced configuration until that uses up
-    its scarcest length's count.
+    configs: dict[tuple, float]
+    bound: float
+    prices: dict[int, float]
+
+
+def solve(counts: dict[int, int], capacity: int, rounds: int = 120, rate: float = 6.0, part: int = 8) -> Program:
+    """The covering program by multiplicative weights.
+
+    A length's price is its share of a sequence times a weight that falls exponentially with how much of its count is
+    covered already. Each round prices once; of the best configurations with each length in them, the least covered
+    lengths' first, those that share no length with one before are taken, so often that their scarcest count is served by a
+    `part`. Any prices, divided by what the best configuration is worth under them, are a solution of the dual: the largest
+    such value of all rounds is the bound.
     """
     lengths = np.array(sorted(counts))
     demand = np.array([counts[int(l)] for l in lengths], float)
-    served, used = np.zeros(len(lengths)), Counter()
-    for _ in range(rounds):
-        value = np.zeros(capacity + 1)
-        value[lengths] = lengths / capacity * np.exp(-rate * (served - served.min()))
-        config = price(value, capacity)
-        take = np.array([config.get(int(l), 0) for l in lengths], float)
-        step = float((demand[take > 0] / take[take > 0]).min())
-        if sum(l * k for l, k in config.items()) == capacity:
-            used[tuple(sorted(config.items(), reverse=True))] += step
-        served += step * take / demand
-    scale = 1 / max(float(np.quantile(served, 0.9)), 1e-9)
-    return {c: n * scale for c, n in used.items()}
+    place = {int(l): k for k, l in enumerate(lengths)}
+    served, used, bound, prices = np.zeros(len(lengths)), Counter(), 0.0, lengths / capacity
+    for _ in range(rounds if len(lengths) else 0):
+        value = lengths / capacity * np.exp(rate * (served.min() - served))
+        priced = Knapsack(lengths, value, capacity)
+        if (proved := float(demand @ value / priced.best[capacity])) > bound:
+            bound, prices = proved, value / priced.best[capacity]
+        fresh = np.ones(len(lengths), bool)
+        for k in np.lexsort([-lengths, served]):
+            if not fresh[k]:
+                continue
+            config = priced.config(capacity - int(lengths[k]))
+            config[int(lengths[k])] += 1
+            at, take = np.array([place[l] for l in config]), np.array(list(config.values()), float)
+            if fresh[at].all():
+                fresh[at] = False
+                step = float((demand[at] / take).min()) / part
+                used[tuple(sorted(config.items(), reverse=True))] += step
+                served[at] += step * take / demand[at]
+    least = max(float(served.min(initial=1.0)), 1e-9)
+    return Program({c: n / least for c, n in used.items()}, bound, dict(zip(lengths.tolist(), prices.tolist(), strict=True)))
+
+
+def _take(out: Counter, config: tuple, most: int, left: dict[int, int]) -> None:
+    if n := min(most, *(left[l] // k for l, k in config)):
+        out[config] += n
+        for l, k in config:
+            left[l] -= n * k
+
+
+def rounded(program: Program, left: dict[int, int], slack: float = 0.0004) -> Counter:
+    """The program's configurations that its prices leave no room to better, the commonest first: each as often as the program says, and
+    once at least, while its pieces last. They are taken out of `left`."""
+    out: Counter = Counter()
+    for config, n in sorted(program.configs.items(), key=lambda x: (-x[1], x[0])):
+        if sum(program.prices[l] * k for l, k in config) >= 1 - slack:
+            _take(out, config, max(1, int(n)), left)
+    return out
+
+
+def completed(left: dict[int, int], capacity: int) -> Counter:
+    """Full configurations of what rounding left, priced by a bounded knapsack: a piece is worth its length, the longest
+    length left is a part, and a configuration is taken as often as its pieces last. Lengths for which none is full stay in `left`."""
+    out: Counter = Counter()
+    for longest in sorted(left, reverse=True):
+        while left[longest]:
+            # reach: a bit for each sum that the pieces so far can have
+            chunks, reach, room = [], 1, capacity - longest
+            for l in sorted(left, reverse=True):
+                free, k = min(left[l] - (l == longest), room // l), 1
+                while free > 0 and not reach >> room & 1:
+                    own = min(k, free)
+                    chunks.append((l, own, reach))
+                    reach |= reach << l * own & (2 << room) - 1
+                    free, k = free - own, 2 * k
+            if not reach >> room & 1:
+                break
+            config = Counter({longest: 1})
+            for l, k, before in reversed(chunks):
+                if not before >> room & 1:
+                    config[l] += k
+                    room -= l * k
+            _take(out, tuple(sorted(config.items(), reverse=True)), left[longest], left)
+    return out
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> Counter:
@@ -215,20 +278,34 @@ def best_fit(counts: dict[int, int], capacity: int) -> Counter:
     return out
 
 
-def plan(counts: dict[int, int], capacity: int = 2048, rounds: int = 600) -> list[tuple[tuple, int]]:
-    """Configurations with whole numbers of sequences; together they hold every counted piece exactly once."""
+class Plan(NamedTuple):
+    """Configurations with whole numbers of sequences, which together hold every counted piece exactly once. Of those with shorter pieces than
+    a sequence: how many the rounded program made, how many the bounded knapsack and best fit, and the bound of any packing."""
+
+    configs: list[tuple[tuple, int]]
+    by_program: int
+    by_knapsack: int
+    by_best_fit: int
+    bound: float
+
+
+def plan(counts: dict[int, int], capacity: int = 2048, rounds: int = 120) -> Plan:
+    """The program is solved and rounded, and again, in fewer rounds, for what that leaves, until rounding takes less than a twentieth of it."""
     left = {l: n for l, n in counts.items() if n and l < capacity}
-    out: Counter = Counter()
+    whole, bound, more = Counter(), 0.0, True
+    while more and left:
+        before = sum(l * n for l, n in left.items())
+        program = solve(left, capacity, rounds if not bound else rounds // 2)
+        bound = bound or program.bound
+        whole += rounded(program, left)
+        left = {l: n for l, n in left.items() if n}
+        more = 20 * sum(l * n for l, n in left.items()) < 19 * before
+    full = completed(left, capacity)
+    rest = best_fit({l: n for l, n in left.items() if n}, capacity)
+    out = whole + full + rest
     if counts.get(capacity):
         out[((capacity, 1),)] = counts[capacity]
-    if sum(left.values()) > 4 * rounds:  # fewer are packed by best fit alone: no configuration would be used twice
-        for config, n in sorted(fractional(left, capacity, rounds).items(), key=lambda x: (-x[1], x[0])):
-            if whole := min(int(n), *(left[l] // k for l, k in config)):
-                out[config] += whole
-                for l, k in config:
-                    left[l] -= whole * k
-    out.update(best_fit({l: n for l, n in left.items() if n}, capacity))
-    return sorted(out.items())
+    return Plan(sorted(out.items()), sum(whole.values()), sum(full.values()), sum(rest.values()), bound)
 
 
 def layout(planned: list[tuple[tuple, int]]) -> dict[str, np.ndarray]:
@@ -248,7 +325,7 @@ def layout(planned: list[tuple[tuple, int]]) -> dict[str, np.ndarray]:
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, salts: int = 64, rounds: int = 600) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, salts: int = 64, rounds: int = 120) -> DataFrame:
     """PACKED: a place for every row of PIECES. `pieces` is read three times; give a written table.
 
     A rank within a length is the row's number within (length, salt) plus the counts of smaller salts, so that
@@ -261,7 +338,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, salts: int = 64, rounds: int =
     by_length: Counter = Counter()
     for r in held:
         by_length[r["length"]] += r["n"]
-    at = layout(plan(dict(by_length), capacity, rounds))
+    at = layout(plan(dict(by_length), capacity, rounds).configs)
     before = np.zeros((capacity + 1, salts), np.int64)
     for r in held:
         before[r["length"], r["_salt"]] = r["before"]
