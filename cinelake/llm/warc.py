@@ -1,17 +1,17 @@
 """WARC archives through a chunked record table.
 
-A payload is a run of rows (record id, chunk number, bytes), each with the digest of the payload up to its end, so
-that no step after the cutting holds an oversized record whole; the cutting itself gets whole payloads, in Arrow
-batches. The writer turns rows into gzip members of `.warc.gz` files, one
-member a record, chunk by chunk; the reader streams them back into the same kind of table, checks every payload
-against its header's digest, and never looks further than one chunk.
+A payload is a run of rows (record id, chunk number, bytes), each with the digest of the payload up to its end. Payloads
+are cut where they are read, in the JVM, so that no Python worker ever holds an oversized record whole. The writer turns rows into
+gzip members of `.warc.gz` files, one member a record, chunk by chunk, and starts another file when one is large; the reader
+streams them back into the same kind of table, checks every payload against its header's digest, and never looks
+further than one chunk.
 
 Files are written from tasks under names of their own, and only those named in the manifest, a written table
 of what the successful attempts returned, are read: repeated or lost attempts leave no record twice.
 The folder must be one that pyarrow opens (local or mounted, hdfs, s3, gs).
 
 Of records with equal payloads of at least `least` bytes the one with the smallest id is a response and
-the others revisit it. Defined cases: a null payload is empty; rows that repeat both id and payload are
+the others revisit it. Defined cases: a null payload is empty; payloads of any length are whole; rows that repeat both id and payload are
 all responses, or all revisits; null ids come last and read back as null; an empty table gives no file and an empty result.
 """
 
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import scratch_path, set_batches, small, written
 
 CHUNK = 256 << 10
+#: Bytes from which on an archive is closed.
+ROLL = 1 << 30
 RECORD_URI = "urn:cinelake:page:"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -50,6 +52,8 @@ def decide(pages: DataFrame, least: int = 0) -> DataFrame:
     keys = rows.select("page_id", "sha1", F.octet_length("payload").alias("n")).filter(F.col("n") >= least)
     # groups of copies are counted and their first id found before any join; only those of two ids or more go on
     first = keys.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter((F.col("copies") > 1) & F.col("first").isNotNull())
+    # a table of its own, so that a payload that a third of all rows share can be split in the join
+    first = small(written(first, "copied"), 64)
     later = keys.join(first, "sha1").filter(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("_id"), F.col("sha1").alias("_sha1"), F.col("first").alias("refers_to")).distinct()
     later = small(written(later, "revisits"), 80)
     joined = rows.join(later, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha1") == F.col("_sha1")), "left")
@@ -57,27 +61,27 @@ def decide(pages: DataFrame, least: int = 0) -> DataFrame:
 
 
 def chunks(records: DataFrame, size: int = CHUNK) -> DataFrame:
-    """The chunked record table of `decide`'s rows. Bytes are slices of the batch they came in."""
+    """The chunked record table of `decide`'s rows. A record's chunks leave the JVM one after another; what is kept between them is a digest."""
     set_batches(records.sparkSession, 128)
+    n = F.greatest(F.lit(1), F.ceil(F.octet_length("payload") / size)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring("payload", k * size + 1, F.lit(size)))
+    rows = records.select("page_id", "url", F.posexplode(cut).alias("k", "data"), n.alias("n"), F.octet_length("payload").cast("bigint").alias("bytes"), "sha1", "record_type", "refers_to")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = hashlib.sha1()
         for b in batches:
-            rows, held = [], 0
-            for i in range(b.num_rows):
-                page, url, _, sha1, kind, to = (b.column(c)[i].as_py() if c != 2 else None for c in range(6))
-                view, whole, digest = memoryview(b.column(2)[i].as_buffer()), base32(bytes.fromhex(sha1)), hashlib.sha1()
-                for k, at in enumerate(range(0, max(1, len(view)), size)):
-                    part = view[at : at + size]
-                    digest.update(part)
-                    rows.append((page, url, k, at + size >= len(view), part, base32(digest.digest()), len(view), whole, kind, to))
-                    held += len(part)
-                    if held >= 8 * size:
-                        yield _batch(rows)
-                        rows, held = [], 0
-            if rows:
-                yield _batch(rows)
-
-    return records.select("page_id", "url", "payload", "sha1", "record_type", "refers_to").mapInArrow(kernel, CHUNKS)
+            columns = {name: b.column(i) for i, name in enumerate(b.schema.names)}
+            rest = zip(*(columns[c].to_pylist() for c in ("page_id", "url", "k", "n", "bytes", "sha1", "record_type", "refers_to")), strict=True)
+            out = []
+            for (page, url, k, n, whole_bytes, sha1, kind, to), data in zip(rest, columns["data"], strict=True):
+                part = memoryview(data.as_buffer())
+                digest = digest if k else hashlib.sha1()
+                digest.update(part)
+                out.append((page, url, k, k == n - 1, part, base32(digest.digest()), whole_bytes, base32(bytes.fromhex(sha1)), kind, to))
+            if out:
+                yield _batch(out)
+
+    return rows.mapInArrow(kernel, CHUNKS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -102,17 +106,24 @@ def _head(row: dict) -> bytes:
 MANIFEST = "path string, records bigint, bytes bigint"
 
 
-def write(chunk_table: DataFrame, folder: str, level: int = 1) -> DataFrame:
-    """Writes the records of a chunked table (a record's rows in order, in one partition) and returns MANIFEST, written."""
+def write(chunk_table: DataFrame, folder: str, level: int = 1, roll: int = ROLL) -> DataFrame:
+    """Writes the records of a chunked table (a record's rows in order, in one partition) and returns MANIFEST, written. A file is closed after the
+    record with which it reaches `roll` bytes."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, member, records, path = None, None, 0, ""
+
+        def closed() -> pa.RecordBatch:
+            n = out.tell()
+            out.close()
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([records]), pa.array([n])], ["path", "records", "bytes"])
+
         for b in batches:
             for row in b.to_pylist():
                 if out is None:
                     system, root = fs.FileSystem.from_uri(folder)
                     system.create_dir(root, recursive=True)
-                    path = f"{root}/{uuid.uuid4().hex}.warc.gz"
+                    path, records = f"{root}/{uuid.uuid4().hex}.warc.gz", 0
                     out = system.open_output_stream(path, compression=None)
                 if row["chunk_no"] == 0:
                     member, records = zlib.compressobj(level, wbits=31), records + 1
@@ -121,10 +132,11 @@ def write(chunk_table: DataFrame, folder: str, level: int = 1) -> DataFrame:
                     out.write(member.compress(row["data"]))
                 if row["last"]:
                     out.write(member.compress(b"\r\n\r\n") + member.flush())
+                    if out.tell() >= roll:
+                        yield closed()
+                        out = None
         if out is not None:
-            n = out.tell()
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([records]), pa.array([n])], ["path", "records", "bytes"])
+            yield closed()
 
     return written(chunk_table.mapInArrow(kernel, MANIFEST), "manifest")
 
