@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Rows of at most this many bytes in all are broadcast, after their count is known.
 BROADCAST_BYTES = 8 << 20
+_local: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. Only a local session, whose executors
+    are this process, may do without: it gets a folder of its own. Anywhere else a local folder would lose rows, so that raises."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="cinelake-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _local.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="cinelake-"))
     return base.rstrip("/")
 
 
@@ -58,7 +61,8 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
 
 
 def set_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of whole texts stay small: a worker holds one batch at a time."""
+    """Arrow batches of whole texts stay small: a worker holds one batch at a time. The setting is read when a plan runs, after the operator has
+    returned it, so it stays as it is set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

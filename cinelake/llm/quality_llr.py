@@ -6,7 +6,8 @@ A document's score is the mean over its n-grams of log(target / raw), in whole m
 on no order of addition. The threshold does best on the labelled documents of the
 other half, where wrongly rejecting a good one costs more; it is the same for every document.
 
-Defined cases: a null or wordless text has no n-grams and fails the base rule; repeated rows are judged alike
+Defined cases: a null or wordless text has no n-grams and fails the base rule; texts of any length are counted and scored whole;
+documents that score alike are judged alike, and of thresholds that do equally well the lowest is taken; repeated rows are judged alike
 and all count; with no trusted or no bad labelled document nothing is rejected beyond the base rule; an
 empty table gives an empty result; rows with a null id are judged like others.
 """

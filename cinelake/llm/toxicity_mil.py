@@ -6,7 +6,8 @@ point at the offending sentences. The model is fitted on a bounded sample of lab
 with the least hashes of their id, at most `per_label` documents and `max_chars` characters. Everything else
 covers every whole text.
 
-Defined cases: a null or wordless text has no sentence and scores 0; repeated rows score alike; with labels
+Defined cases: a null or wordless text has no sentence and scores 0; texts of any length are scored whole; of sentences that score alike the
+first is the worst, and documents of one hash are sampled by id; repeated rows score alike; with labels
 of one kind or none every score is 0; an empty table gives an empty result; a null id is not held out.
 """
 
@@ -132,6 +133,7 @@ SCORES = "score double, n_sentences int, n_offending int, worst_start int, worst
 def score(docs: DataFrame, weights: dict[str, float], intercept: float) -> DataFrame:
     """(doc_id, text) to doc_id and SCORES: how many sentences reach 0.5, and where the worst of those lies (code points)."""
     set_batches(docs.sparkSession)
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = _Weights(weights).__getitem__
         for b in batches:
