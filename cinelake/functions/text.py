@@ -96,12 +96,16 @@ def is_known_hallucination(norm: Column) -> Column:
 
 
 def is_sound_description(text: Column) -> Column:
-    """Some letter, digit or note, and none outside brackets and asterisks. Nested brackets are taken off inside out."""
-    bare = text
-    for _ in range(4):
-        bare = F.regexp_replace(bare, r"[\[(][^\[\]()]*[\])]", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"[\[(].*$", ""), r"\*[^*]*(\*|$)", "")
-    return text.rlike(r"[\p{L}\p{N}♪♫♬♩]") & ~bare.rlike(r"[\p{L}\p{N}]")
+    """Some letter, digit or note, and no letter or digit outside brackets, at any depth, and asterisks. One pass over the marks and words."""
+    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([\[(]|[\])]|\*|[♪♫♬♩]|[\p{L}\p{N}]+)"))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("starred"), F.lit(False).alias("some"), F.lit(False).alias("outside"))
+    word = lambda t: t.rlike(r"^[\p{L}\p{N}]")
+
+    def step(s: Column, t: Column) -> Column:
+        depth = F.when(t.isin("[", "("), s["depth"] + 1).when(t.isin("]", ")"), F.greatest(F.lit(0), s["depth"] - 1)).otherwise(s["depth"])
+        return F.struct(depth.alias("depth"), (s["starred"] != (t == "*")).alias("starred"), (s["some"] | ~t.isin("[", "(", "]", ")", "*")).alias("some"), (s["outside"] | (word(t) & (s["depth"] == 0) & ~s["starred"])).alias("outside"))
+
+    return F.aggregate(parts, start, step, lambda s: s["some"] & ~s["outside"])
 
 
 def year_of(date: Column) -> Column:

@@ -48,22 +48,31 @@ def derive_order(located: DataFrame, chapters: DataFrame, given: DataFrame, job:
     marks = chapters.groupBy(job).agg(F.sort_array(F.collect_list(F.struct("start_s", "end_s"))).alias("_chapters"))
     rows = located.join(given.select(job, F.col("n_files").alias("_given")), job).join(marks, job, "left")
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        held = rows["_chapters"].iloc[0]
-        kept, problem = audio.disc_order(rows[["file_id", "offset_s", "length_s", "score"]], [(c["start_s"], c["end_s"]) for c in (held if held is not None else [])], int(rows["_given"].iloc[0]))
-        kept["chapter"] = kept["chapter"].astype("Int64")
-        return kept.assign(**{job: rows[job].iloc[0], "problem": problem})[[job, "file_id", "offset_s", "length_s", "score", "order_index", "chapter", "problem"]]
+    columns = [job, "file_id", "offset_s", "length_s", "score", "_given", "_chapters"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left = None
+        # a partition's jobs lie one after another; a job is small and is held until its last row
+        at, held, out = None, [], []
+
+        def solve() -> None:
+            if held:
+                chapters = [(c["start_s"], c["end_s"]) for c in (held[0][6] if held[0][6] is not None else [])]
+                kept, problem = audio.kept_in_order([audio.Placed(*r[1:5]) for r in held], chapters, int(held[0][5]))
+                out.extend((at, *r, problem) for r in kept)
+
+        frame = lambda: pd.DataFrame(out, columns=[job, "file_id", "offset_s", "length_s", "score", "order_index", "chapter", "problem"]).astype({"chapter": "Int64"})
         for b in batches:
-            b = b if left is None else pd.concat([left, b], ignore_index=True)
-            groups = [g for _, g in b.groupby(job, sort=False)]
-            left = groups.pop() if groups else None
-            if groups:
-                yield pd.concat([one(g) for g in groups])
-        if left is not None and len(left):
-            yield one(left)
+            for row in b[columns].itertuples(index=False, name=None):
+                if row[0] != at:
+                    solve()
+                    at, held = row[0], []
+                held.append(row)
+            if out:
+                yield frame()
+                out = []
+        solve()
+        if out:
+            yield frame()
 
     schema = f"{job} {kinds[job]}, file_id {kinds['file_id']}, offset_s double, length_s double, score double, order_index int, chapter int, problem string"
     return rows.repartition(job).sortWithinPartitions(job, "file_id").mapInPandas(run, schema)

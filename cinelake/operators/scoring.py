@@ -77,6 +77,16 @@ def chapter_pairs(chapters: DataFrame, files: DataFrame, keys: list[str]) -> Dat
     return met.filter(F.col("off") <= F.greatest(F.lit(2.0), 0.01 * F.col("duration_s"))).drop("_b")
 
 
+def matching_count(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """matched: how many chapters (chapter_no) and files (other_id) pair off one to one, the closest lengths (off) first. A disc's pairs are few:
+    they are walked within its row."""
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    listed = pairs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("off", "chapter_no", "other_id", name("c", "chapter_no").alias("c"), name("f", "other_id").alias("f")))).alias("_pairs"))
+    none = F.array().cast("array<string>")
+    taken = F.aggregate("_pairs", none, lambda seen, x: F.when(F.array_contains(seen, x["c"]) | F.array_contains(seen, x["f"]), seen).otherwise(F.concat(seen, F.array(x["c"], x["f"]))))
+    return listed.select(*keys, (F.size(taken) / 2).cast("int").alias("matched"))
+
+
 def identity_support(dialogue: Column, title: Column, cfg: Matching = MATCHING) -> Column:
     return F.coalesce(dialogue >= cfg.identity_dialogue, F.lit(False)) | F.coalesce(title >= cfg.identity_title, F.lit(False))
 
@@ -166,9 +176,9 @@ def play_all(files: DataFrame, keys: list[str], chapters: DataFrame | None = Non
     if chapters is None:
         top = top.withColumn("n_chapters", F.lit(0)).withColumn("matched", F.lit(0))
     else:
-        own = chapters.filter("chapter_s > 0").join(top.select(*keys, "file_id"), [*keys, "file_id"]).withColumn("chapter_no", F.monotonically_increasing_id())
+        own = chapters.filter("chapter_s > 0").join(top.select(*keys, "file_id"), [*keys, "file_id"]).withColumn("chapter_no", F.row_number().over(Window.partitionBy(*keys).orderBy("chapter_s")))
         pairs = chapter_pairs(own.drop("file_id"), placed.filter("_n > 1").select(*keys, F.col("file_id").alias("other_id"), "duration_s"), keys)
-        matched = pairs.groupBy(*keys).applyInPandas(lambda k, rows: _closest_pairs(k, rows, keys), ", ".join(f"{k} {dict(files.dtypes)[k]}" for k in keys) + ", matched int")
+        matched = matching_count(pairs, keys)
         top = top.join(own.groupBy(*keys).agg(F.count("*").cast("int").alias("n_chapters")), keys, "left").join(matched, keys, "left").fillna(0, ["n_chapters", "matched"])
     fraction = F.col("matched") / (F.col("candidates") - 1)
     by_length = F.col("difference") <= 0.25
@@ -178,15 +188,3 @@ def play_all(files: DataFrame, keys: list[str], chapters: DataFrame | None = Non
     c = _clamp(fraction)
     confidence = F.when(F.col("n_chapters") >= 2, 0.6 * F.greatest(d, c) + 0.4 * F.least(d, c)).otherwise(0.7 * d)
     return top.withColumn("is_play_all", accepted).withColumn("confidence", confidence)
-
-
-def _closest_pairs(key: tuple, rows, keys: list[str]):
-    """How many chapters and files pair off one to one, the closest lengths first. A disc's pairs are few."""
-    import pandas as pd
-
-    chapters, others = set(), set()
-    for r in rows.sort_values(["off", "chapter_no", "other_id"]).itertuples():
-        if r.chapter_no not in chapters and r.other_id not in others:
-            chapters.add(r.chapter_no)
-            others.add(r.other_id)
-    return pd.DataFrame([[*key, len(chapters)]], columns=[*keys, "matched"])

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinelake.functions import naming, subtitles
 from cinelake.functions import text as T
-from cinelake.operators import assignment, coverage, library, renames, segments
+from cinelake.operators import assignment, coverage, library, matching, renames, segments
 from cinelake.sources import cache, probe
 from cinelake.streaming import folds
 
@@ -317,9 +317,10 @@ def top09_scaled_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sca01_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word counts of the full tokenizer, numbers spelt out, over benchmark items and conversations."""
-    texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return coverage.tokens(texts, ["id"]).groupBy("id").agg(F.count("*").alias("n_words"), F.countDistinct("code").alias("n_codes"))
+    """Word and code counts of the full tokenizer, numbers spelt out, over benchmark items and conversation turns."""
+    items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item "), "item_id").alias("id"), "text")
+    turns = table(spark, sf_dir, "conversations").select(F.concat(F.lit("turn "), "conv_id", F.lit("/"), "turn").alias("id"), "text")
+    return coverage.tokens(items.unionByName(turns), ["id"]).groupBy("id").agg(F.count("*").alias("n_words"), F.countDistinct("code").alias("n_codes"))
 
 
 def joi03_phrase_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,10 +339,14 @@ def joi03_phrase_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def joi04_title_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How well each benchmark item's opening words, as a title, are heard in it."""
-    items = table(spark, sf_dir, "benchmark")
-    title = F.array_join(F.slice(F.split("text", " "), 4, 3), " ")
-    return items.select("item_id", F.round(coverage.title_hook_udf(title, F.col("text")), 6).alias("score"))
+    """Each benchmark item's opening words as a title, heard in every conversation turn: the turn that sounds most like it."""
+    items, turns = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "conversations")
+    titles = items.agg(F.sort_array(F.collect_list(F.struct("item_id", F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("title")))).alias("items"))
+    heard = turns.select("conv_id", "turn", "text").crossJoin(F.broadcast(titles))  # the items, a stated set, in one row
+    told = heard.select("conv_id", "turn", "items", matching.title_hooks(F.transform("items", lambda x: x["title"]), F.col("text")).alias("scores"))
+    rows = told.select("conv_id", "turn", F.explode(F.arrays_zip(F.transform("items", lambda x: x["item_id"]).alias("item_id"), F.col("scores").alias("score"))).alias("x")).select("conv_id", "turn", "x.item_id", "x.score")
+    best = rows.filter("score is not null").groupBy("item_id").agg(F.max_by(F.struct("conv_id", "turn"), F.struct(F.round("score", 6), -F.col("conv_id"), -F.col("turn"))).alias("at"), F.max(F.round("score", 6)).alias("score"))
+    return best.select("item_id", "at.conv_id", "at.turn", "score")
 
 
 def ker04_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:

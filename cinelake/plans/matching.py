@@ -308,28 +308,20 @@ def agg21_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.speed(runs, ["user_id"], prior=4.0).select("user_id", F.round("speed", 6).alias("speed"))
 
 
-def agg26_vector_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised correlation of each stated query vector (every hundredth id) with the vectors of its label."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    asked = broadcast_if_small(v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("v").alias("q")), 600)
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    norm = F.sqrt(dot("q", "q") * dot("v", "v"))
-    met = v.join(asked, "label").filter("query_id != vec_id")
-    return met.select("query_id", "vec_id", F.round(F.when(norm > 0, dot("q", "v") / norm).otherwise(0.0), 6).alias("correlation"))
-
-
-_CORRELATION_SQL = """
-SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(list_transform(q.embedding, lambda x: x::DOUBLE), list_transform(v.embedding, lambda x: x::DOUBLE)), 6) AS correlation
-FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0
-"""
-
-
 def agg26_offset_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised correlation of the vectors of the stated set (ids divisible by 20) with all others, also one value early or late."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     asked = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("needle"))
     pairs = v.select("vec_id", F.col("embedding").alias("hay")).crossJoin(broadcast_if_small(asked, 600)).filter("query_id != vec_id")
-    return audio.correlations(pairs, ["query_id", "vec_id"], 1)
+    return audio.correlations(pairs, ["query_id", "vec_id"], 1).withColumn("correlation", F.round("correlation", 6))
+
+
+_OFFSETS_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, len(embedding) AS n FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, h.vec_id, o AS "offset", q.v[greatest(1, 1 - o):least(q.n, h.n - o)] AS a, h.v[greatest(1, 1 + o):least(h.n, q.n + o)] AS b
+  FROM v q JOIN v h ON q.vec_id <> h.vec_id, (SELECT unnest([-1, 0, 1])::BIGINT AS o) WHERE q.vec_id % 20 = 0)
+SELECT query_id, vec_id, "offset", len(a) AS rows_inside, round(CASE WHEN list_inner_product(a, a) * list_inner_product(b, b) > 0 THEN list_inner_product(a, b) / sqrt(list_inner_product(a, a) * list_inner_product(b, b)) ELSE 0 END, 6) AS correlation FROM p
+"""
 
 
 def joi05_summary_by_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,7 +363,7 @@ def ker05_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     tfidf_cosine_topk, agg01_term_counts, agg02_idf_terms, agg05_typical_phrase_weight, agg10_summary_keywords, sca15_duration_fit, agg11_combine_signals, win10_verdicts,
     agg12_play_all, win03_disc_slots, win04_order_signal, win06_merge_windows, win07_window_gaps, agg16_covered_seconds, agg20_audio_cost, ker10_plan_windows,
-    ker10_escalation_windows, agg21_speed, agg26_vector_correlation, agg26_offset_correlation, joi05_summary_by_sound, joi01_score_matrix, ker05_matches,
+    ker10_escalation_windows, agg21_speed, agg26_offset_correlation, joi05_summary_by_sound, joi01_score_matrix, ker05_matches,
 )}
 ORACLE_SQL = {
     "tfidf_cosine_topk": _TOPK_SQL,
@@ -391,5 +383,5 @@ ORACLE_SQL = {
     "agg20_audio_cost": _LISTENING_SQL.rstrip(",") + " SELECT user_id, day, round(sum(CASE WHEN end_s > start_s THEN greatest(end_s - start_s, 30.0) ELSE 0 END), 3) AS cost_s FROM w GROUP BY user_id, day",
     "ker10_plan_windows": _PLAN_SQL,
     "agg21_speed": "SELECT user_id, round((60 + sum(value * 10)) / (15 + sum(value)), 6) AS speed FROM events GROUP BY user_id",
-    "agg26_vector_correlation": _CORRELATION_SQL,
+    "agg26_offset_correlation": _OFFSETS_SQL,
 }

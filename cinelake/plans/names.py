@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinelake.functions import naming, similarity, subtitles, words
+from cinelake.functions import naming, phonetic, similarity, subtitles, words
 from cinelake.functions import text as T
 from cinelake.operators import evidence
 
@@ -166,6 +166,24 @@ SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN n || ' - ' || t WHEN 1 THEN ''
   WHEN 8 THEN 'NUL_.txt' ELSE 'Lpt¹_' END AS safe, lower(n) || 'é' AS folded, true AS fits, md5(rtrim(regexp_replace(l, '\s+', ' ', 'g'), '. ') || '.mkv') AS fitted_md5 FROM p
 """
 
+_SOUNDS = [("{w}", 0), ("[{w}]", 1), ("((((((({w}) {w}))))))", 1), ("[door] {w}", 0), ("*{w}* (sighs)", 1), ("*{w}* {w}", 0), ("♪ ♫", 1), ("...", 0), ("({w}", 1), ("[a [b (c] d) e] {w}", 0), (")) {w}", 0), ("[[{w}]", 1)]
+
+
+def sca25_sound_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether what is heard is a sound and no speech: words within brackets at any depth, or asterisks. And why it does not count."""
+    from cinelake.operators import segments
+
+    word = F.regexp_extract(F.coalesce("text", F.lit("")), r"(\p{L}+)", 1)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.replace(_pick([f for f, _ in _SOUNDS], F.col("conv_id") + F.col("turn")), F.lit("{w}"), F.concat(F.lit("x"), word)).alias("text"))
+    reason = segments.own_reason(F.col("text"), F.when(F.col("turn") % 5 == 0, 0.7).otherwise(0.1), F.lit(-1.5), F.when(F.col("turn") % 7 == 3, 2.5).otherwise(1.0))
+    return rows.select("conv_id", "turn", T.is_sound_description(F.col("text")).alias("is_sound"), reason.alias("reason"))
+
+
+_SOUNDS_SQL = (
+    f"WITH s AS (SELECT conv_id, turn, {[v for _, v in _SOUNDS]}[(conv_id + turn) % {len(_SOUNDS)} + 1] = 1 AS is_sound FROM conversations) "
+    "SELECT *, CASE WHEN turn % 7 = 3 THEN 'highCompressionRatio' WHEN is_sound OR turn % 5 = 0 THEN 'noSpeech' END AS reason FROM s"
+)
+
 _ACCENTED = "".join(c for chars in words.ACCENTS.values() for c in chars if len(chars) > 1 or chars in "łř")
 _BASES = "".join(base for base, chars in words.ACCENTS.items() for c in chars if len(chars) > 1 or chars in "łř")
 
@@ -253,7 +271,56 @@ def _ratios_sql() -> str:
     )
 
 
-QUERIES = {f.__name__: f for f in (src03_paths, sca17_titles, fil07_languages, sca28_dates_and_times, sca30_rate_limits, sca50_display, sca53_sentences, sca45_safe_names, sca04_folded_words, sca02_number_words, sca09_ratios)}
+_TITLE_FORMS = [("The {a} ({b} [old]) {c}", "the {a} {c}"), ("Mr. {a} vs. Dr. {c}", "mister {a} versus doctor {c}"), ("{a}'s TV & [x] {c}", "{a}s t v and {c}"), ("({a})", ""), ("{a}) {c}", "{a} {c}"), ("Ok, {c}: 50%", "okay {c} fifty percent")]
+
+
+def sca13_title_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of titles outside brackets with abbreviations spelt out, how telling they are, and runs of three of them."""
+
+    def run(batches):
+        for b in batches:
+            own = [words.title_words(t) for t in b.title]
+            b["words"], b["telling"] = [" ".join(w) for w in own], [words.title_specificity(w) for w in own]
+            b["runs"] = ["|".join(phonetic.shingles(w, 3)) for w in own]
+            yield b[["p_partkey", "words", "telling", "runs"]]
+
+    title = _pick([f for f, _ in _TITLE_FORMS], F.col("p_partkey"))
+    for hole, value in (("a", F.split("p_name", " ")[0]), ("b", F.lower("p_type")), ("c", F.split("p_name", " ")[1])):
+        title = F.replace(title, F.lit("{" + hole + "}"), value)
+    made = table(spark, sf_dir, "part").select("p_partkey", title.alias("title")).mapInPandas(run, "p_partkey bigint, words string, telling double, runs string")
+    return made.withColumn("telling", F.round("telling", 6))
+
+
+_TITLE_WORDS_SQL = (
+    "WITH t AS (SELECT p_partkey, replace(replace(" + _pick_sql([w for _, w in _TITLE_FORMS], "p_partkey") + ", '{a}', split_part(p_name, ' ', 1)), '{c}', split_part(p_name, ' ', 2)) AS words FROM part), "
+    "w AS (SELECT *, CASE WHEN words = '' THEN [] ELSE string_split(words, ' ') END AS w FROM t), "
+    "n AS (SELECT *, list_sum(list_transform(list_filter(w, lambda x: NOT list_contains(string_split('" + " ".join(sorted(words.STOPWORDS | words.FILLERS)) + "', ' '), x)), lambda x: length(x))) AS n FROM w) "
+    "SELECT p_partkey, words, round(CASE WHEN coalesce(n, 0) = 0 THEN 0.15 ELSE least(1.0, greatest(0.25, n / 10)) END, 6)::DOUBLE AS telling, "
+    "CASE WHEN len(w) = 0 THEN '' ELSE array_to_string(list_transform(range(greatest(1, len(w) - 2)), lambda i: array_to_string(w[i + 1:i + 3], ' ')), '|') END AS runs FROM n"
+)
+
+_FOLDER_FORMS = [
+    ("/rips/{n} Season {k} Disc 2", "{n}"), ("/rips/{n}/season_{k}/BD1", "{n}"), ("C:\\m\\{N}_D{k}", "{T}"), ("/r/{n} (19{k}0) DVD", "{n}"), ("/r/{n} Volume {k}", "{n} Volume {k}"),
+    ("/S{k}D9", ""), ("/{n}/makemkv/s0{k}", "{n}"), ("/r/{n}.and.the.{n}", "{n} and the {n}"), ("/x/THE_{N}_OF_{N}", "The {T} of {T}"),
+]
+
+
+def sca21_show_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shows told by the names of folders that discs are kept in."""
+    folder = _pick([f for f, _ in _FOLDER_FORMS], F.col("p_partkey"))
+    first = F.split("p_name", " ")[0]
+    for hole, value in (("{n}", F.initcap(first)), ("{N}", F.upper(first)), ("{k}", (F.col("p_size") % 9 + 1).cast("string"))):
+        folder = F.replace(folder, F.lit(hole), value)
+    return table(spark, sf_dir, "part").select("p_partkey", subtitles.column_udf(naming.guess_show)(folder).alias("show"))
+
+
+_FOLDERS_SQL = (
+    "WITH p AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS w, (p_size % 9 + 1)::VARCHAR AS k FROM part), n AS (SELECT *, upper(w[1]) || lower(w[2:]) AS t FROM p) "
+    "SELECT p_partkey, nullif(replace(replace(replace(" + _pick_sql([w for _, w in _FOLDER_FORMS], "p_partkey") + ", '{n}', t), '{T}', t), '{k}', k), '') AS \"show\" FROM n"
+)
+
+
+QUERIES = {f.__name__: f for f in (src03_paths, sca17_titles, fil07_languages, sca28_dates_and_times, sca30_rate_limits, sca50_display, sca53_sentences, sca45_safe_names, sca25_sound_descriptions, sca04_folded_words, sca02_number_words, sca09_ratios, sca13_title_words, sca21_show_names)}
 ORACLE_SQL = {
     "src03_paths": _PATHS_SQL,
     "sca17_titles": _TITLES_SQL,
@@ -263,7 +330,10 @@ ORACLE_SQL = {
     "sca50_display": _DISPLAY_SQL,
     "sca53_sentences": _SENTENCES_SQL,
     "sca45_safe_names": _SAFE_SQL,
+    "sca25_sound_descriptions": _SOUNDS_SQL,
     "sca04_folded_words": _FOLDED_SQL,
     "sca02_number_words": _numbers_sql(),
     "sca09_ratios": _ratios_sql(),
+    "sca13_title_words": _TITLE_WORDS_SQL,
+    "sca21_show_names": _FOLDERS_SQL,
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cinelake.functions import subtitles
 from cinelake.functions import text as T
 from cinelake.operators import evidence, library, renames, segments
-from cinelake.sources import cache, probe, providers
+from cinelake.sources import archives, cache, probe, providers
 from cinelake.streaming import folds
 
 from .tables import table
@@ -512,15 +512,87 @@ WITH l AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS rf, max(l_suppk
 SELECT l_orderkey, l_linenumber, place FROM r WHERE y IN (SELECT DISTINCT year(l_shipdate) FROM lineitem ORDER BY 1 LIMIT 3)
 """
 
+def src01_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as one scanned folder, some unreadable or without sound, one of them as long as a thousand: its files, and the summary as a row of its own."""
+    k = F.col("o_orderkey")
+    files = table(spark, sf_dir, "orders").select(F.concat(F.when(k % 7 == 0, "sub/").otherwise(""), F.lit("t"), k, F.when(k % 10 == 3, ".txt").otherwise(".mkv")).alias("path"), k.alias("k"), F.col("o_custkey").alias("c"))
+    audio = F.when(F.col("k") % 6 > 0, F.array(F.struct(F.lit(1).alias("index"), F.lit("audio").alias("codec_type")))).otherwise(F.array().cast("array<struct<index:int,codec_type:string>>"))
+    raw = F.to_json(F.struct(F.struct(F.lit("x").alias("format_name"), (F.col("c") % 40 + 5).cast("string").alias("duration")).alias("format"), audio.alias("streams")))
+    scanned, summary = probe.scan(files.select("path"), files.select("path", F.when(F.col("k") % 11 > 0, raw).alias("raw")), "/rips/Harbour Lights Disc 1", recursive=True)
+    told = F.concat_ws(" ", F.coalesce("play_all", F.lit("none")), "n_candidates", "n_warnings", "show_guess")
+    return scanned.select("file_id", "duration_s", "role", "warning").unionByName(summary.select(F.lit("summary").alias("file_id"), F.lit(None).cast("double").alias("duration_s"), told.alias("role"), F.lit(None).cast("string").alias("warning")))
+
+
+_SCANS_SQL = """
+WITH f AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'sub/' ELSE '' END || 't' || o_orderkey || '.mkv' AS file_id, CASE WHEN o_orderkey % 11 > 0 THEN o_custkey % 40 + 5 END::DOUBLE AS duration_s, o_orderkey % 6 > 0 AS sound FROM orders WHERE o_orderkey % 10 <> 3),
+r AS (SELECT file_id, duration_s, CASE WHEN duration_s IS NULL OR NOT sound OR duration_s < 20 THEN 'ignored' ELSE 'candidate' END AS role, CASE WHEN duration_s IS NULL THEN 'unreadable' WHEN NOT sound THEN 'noAudio' END AS warning FROM f)
+SELECT * FROM r UNION ALL SELECT 'summary', NULL, 'none ' || count(*) FILTER (role = 'candidate') || ' ' || count(warning) || ' Harbour Lights', NULL FROM r
+"""
+
+
+def src11_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as archives of subtitle files in several kinds beside what is none: the texts, preferred kinds first."""
+    import io
+    import zipfile
+
+    def packed(batches):
+        for b in batches:
+            payloads = []
+            for turns in b.turns:
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w") as z:
+                    z.writestr("__MACOSX/x.srt", "no")
+                    z.writestr("read.me", "no")
+                    for t in turns:
+                        kind = ("vtt", "srt", "ass")[t["turn"] % 3]
+                        body = t["plain"] if kind == "ass" else f"1\n00:00:01,000 --> 00:00:02,000\n{t['plain']}\n"
+                        text = {"vtt": "WEBVTT\n\n" + body, "srt": body, "ass": "[Events]\nFormat: Start, Text\nDialogue: 0:00:01.00," + body + "\n"}[kind]
+                        z.writestr(f"d/T{t['turn']}.{kind.upper()}", text.encode("utf-16" if t["turn"] % 2 else "utf-8"))
+                payloads.append(held.getvalue())
+            b["payload"] = payloads
+            yield b[["conv_id", "payload"]]
+
+    turns = _cues(spark, sf_dir).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "plain"))).alias("turns"))
+    found = archives.extract(turns.mapInPandas(packed, "conv_id bigint, payload binary"), ["conv_id"])
+    return found.select("conv_id", "pos", "name", F.md5("text").alias("text_md5"), "error")
+
+
+_ARCHIVES_SQL = r"""
+WITH c AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_extract(text, '^[^.,!?]*'), '[^\pL ]', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM conversations)
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY CASE turn % 3 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 3 END, turn) - 1)::INTEGER AS pos, 'd/T' || turn || CASE turn % 3 WHEN 0 THEN '.VTT' WHEN 1 THEN '.SRT' ELSE '.ASS' END AS name, md5(plain) AS text_md5, NULL::VARCHAR AS error FROM c
+"""
+
+
+def top12_lyric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stamped lyrics whose lines are sung twice: a row for each stamp, by time."""
+    import pandas as pd
+
+    rows = _cues(spark, sf_dir)
+    line = F.concat(F.format_string("[%02d:%02d.00][by:x][%d:30]", F.col("turn") % 5, F.col("turn") * 7 % 60, F.col("turn") + 2), "plain")
+    files = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("lrc"))
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame([(c, i, s, t) for c, text in zip(b.conv_id, b.lrc, strict=True) for i, (s, t) in enumerate(subtitles.lrc_lines(text))], columns=["conv_id", "pos", "at_s", "line"])
+
+    return files.mapInPandas(run, "conv_id bigint, pos bigint, at_s double, line string")
+
+
+_LRC_SQL = r"""
+WITH c AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_extract(text, '^[^.,!?]*'), '[^\pL ]', ' ', 'g'), '\s+', ' ', 'g')) AS line FROM conversations),
+s AS (SELECT conv_id, turn, 0 AS k, (turn % 5 * 60 + turn * 7 % 60)::DOUBLE AS at_s, line FROM c UNION ALL SELECT conv_id, turn, 1, ((turn + 2) * 60 + 30)::DOUBLE, line FROM c)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY at_s, turn, k) - 1 AS pos, at_s, line FROM s
+"""
+
 QUERIES = {f.__name__: f for f in (
     fil05_streams, src06_probes, src02_listing, src12_found_shows, src12_episodes, joi14_dvd_numbering, src13_seasons, joi20_find_show, src14_packs, top05_season_texts, src15_lyrics, msc05_source_status,
     fil03_dialogue_texts, snk04_srt, sca31_subtitle_kinds, win02_finished_cues, src10_decoded, joi16_files_for, joi15_archive_episodes, agg22_review_counts, top06_recent_jobs, pln01_built_plan, sca55_untouched,
-    win14_preview, win15_next_to_review, top07_history, set07_left_behind, top08_reference_order,
+    win14_preview, win15_next_to_review, top07_history, set07_left_behind, top08_reference_order, src01_scans, src11_archives, top12_lyric_lines,
 )}
 ORACLE_SQL = {
     "fil05_streams": _STREAMS_SQL, "src06_probes": _PROBES_SQL, "src02_listing": _LISTING_SQL, "src12_found_shows": _SHOWS_SQL, "src12_episodes": _EPISODES_SQL, "joi14_dvd_numbering": _DVD_SQL, "src13_seasons": _SEASONS_SQL,
     "joi20_find_show": _FIND_SQL, "src14_packs": _PACKS_SQL, "top05_season_texts": _SERVED_SQL, "src15_lyrics": _LYRICS_SQL, "msc05_source_status": _STATUS_SQL, "fil03_dialogue_texts": _DIALOGUE_SQL, "snk04_srt": _SRT_SQL,
     "sca31_subtitle_kinds": _KINDS_SQL, "win02_finished_cues": _CUES_SQL, "src10_decoded": _DECODED_SQL, "joi16_files_for": _FILES_SQL, "joi15_archive_episodes": _ENTRIES_SQL, "agg22_review_counts": _REVIEW_SQL,
     "top06_recent_jobs": _RECENT_SQL, "pln01_built_plan": _BUILT_SQL, "sca55_untouched": _UNTOUCHED_SQL, "win14_preview": _PREVIEW_SQL, "win15_next_to_review": _NEXT_SQL, "top07_history": _HISTORY_SQL, "set07_left_behind": _LEFT_SQL,
-    "top08_reference_order": _ORDERED_SQL,
+    "top08_reference_order": _ORDERED_SQL, "src01_scans": _SCANS_SQL, "src11_archives": _ARCHIVES_SQL, "top12_lyric_lines": _LRC_SQL,
 }

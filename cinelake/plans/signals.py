@@ -136,6 +136,25 @@ g AS (SELECT disc, count(*) AS c, max(CASE WHEN n = 1 THEN file_id END) AS file_
 SELECT disc, file_id, 'PlayAll' AS verdict, 1.0::DOUBLE AS score, 1.0::DOUBLE AS margin FROM g WHERE c >= 3 AND s2 > 0 AND l / s2 >= 3 AND abs(l - o) / o <= 0.25"""
 
 
+def agg13_chapter_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discs whose longest file has chapters of about the lengths of the others: how many pair off, and whether it is the play-all."""
+    rows = _lines(spark, sf_dir).filter("l_linenumber < 7").select(F.col("l_orderkey").alias("disc"), F.col("l_linenumber").alias("file_id"), (F.col("l_quantity") * 20 + 60).alias("duration_s"), F.col("l_tax"), F.col("l_partkey"))
+    whole = rows.groupBy("disc").agg(F.lit(99).alias("file_id"), (F.sum("duration_s") * (F.max("l_partkey") % 3 * 0.2 + 0.8)).alias("duration_s"))
+    chapters = rows.filter("l_partkey % 5 > 0").select("disc", F.lit(99).alias("file_id"), (F.col("duration_s") + F.col("l_tax") * 100 - 3).alias("chapter_s"))
+    found = scoring.play_all(rows.select("disc", "file_id", "duration_s").unionByName(whole), ["disc"], chapters)
+    return found.filter("file_id = 99").select("disc", "n_chapters", "matched", "is_play_all", F.round("confidence", 6).alias("confidence"))
+
+
+_MATCHED_SQL = "WITH " + _LINES + """, r AS (SELECT l_orderkey AS disc, l_linenumber AS f, q * 20 + 60 AS s, x, p FROM l WHERE l_linenumber < 7),
+w AS (SELECT disc, count(*) + 1 AS n, sum(s) * (max(p) % 3 * 0.2 + 0.8) AS w, sum(s) AS others, max(s) AS s2 FROM r GROUP BY disc), d AS (SELECT * FROM w WHERE n >= 3 AND w > s2),
+c AS (SELECT disc, row_number() OVER (PARTITION BY disc ORDER BY s + x * 100 - 3) AS no, s + x * 100 - 3 AS c FROM r WHERE p % 5 > 0 AND s + x * 100 - 3 > 0), k AS (SELECT disc, count(*) AS n_chapters FROM c GROUP BY disc),
+b AS (SELECT disc, list([no, 100 + f] ORDER BY abs(c - s), no, f) AS pairs FROM c JOIN r USING (disc) WHERE abs(c - s) <= greatest(2.0, 0.01 * s) GROUP BY disc),
+m AS (SELECT disc, len(list_reduce(list_prepend([]::BIGINT[], pairs), lambda acc, x: CASE WHEN list_contains(acc, x[1]) OR list_contains(acc, x[2]) THEN acc ELSE acc || x END)) // 2 AS matched FROM b),
+t AS (SELECT disc, coalesce(n_chapters, 0) AS nc, coalesce(matched, 0) AS m, abs(w - others) / others AS diff, w / s2 AS ratio, coalesce(matched, 0) / (n - 1) AS share FROM d LEFT JOIN k USING (disc) LEFT JOIN m USING (disc)),
+u AS (SELECT *, greatest(0.0, least(1.0, 1 - diff / 0.25)) AS a, greatest(0.0, least(1.0, share)) AS b, nc >= 2 AND share >= 0.5 AND m >= 2 AS by_chapters FROM t)
+SELECT disc, nc::INTEGER AS n_chapters, m::INTEGER AS matched, (ratio >= 3 AND (diff <= 0.25 OR by_chapters)) OR (ratio >= 1.5 AND diff <= 0.25 AND by_chapters) AS is_play_all, round(CASE WHEN nc >= 2 THEN 0.6 * greatest(a, b) + 0.4 * least(a, b) ELSE 0.7 * a END, 6) AS confidence FROM u"""
+
+
 def agg09_dialogue_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage as far as what was heard is telling, and both cosines."""
     typical = F.col("l_linenumber") - 1
@@ -324,7 +343,7 @@ SELECT m.user_id::VARCHAR AS entry, item::VARCHAR AS item, '/d/' || m.user_id ||
 
 
 QUERIES = {f.__name__: f for f in (
-    fil08_heard_gate, fil11_sampling_rules, fil15_input_problems, joi07_overlaps, joi08_on_chapters, ker09_disc_order, joi06_chapter_pairs, agg28_missing_titles, msc01_play_all_match,
+    fil08_heard_gate, fil11_sampling_rules, fil15_input_problems, joi07_overlaps, joi08_on_chapters, ker09_disc_order, joi06_chapter_pairs, agg28_missing_titles, msc01_play_all_match, agg13_chapter_matches,
     agg09_dialogue_score, top01_candidates, ker01_best_totals, ker02_ordered_totals, agg25_rising, win11_deltas, win16_speech_layout, ker12_to_original, agg15_mostly_music, str03_undo_plan,
 )}
 ORACLE_SQL = {
@@ -337,6 +356,7 @@ ORACLE_SQL = {
     "agg28_missing_titles": _MISSING_SQL,
     "msc01_play_all_match": _PLAY_ALL_SQL,
     "agg09_dialogue_score": _SCORE_SQL,
+    "agg13_chapter_matches": _MATCHED_SQL,
     "top01_candidates": _CANDIDATES_SQL,
     "ker01_best_totals": _best_sql(),
     "ker02_ordered_totals": _ordered_sql(),

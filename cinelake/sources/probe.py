@@ -55,6 +55,23 @@ def role(failed: Column, probe: Column) -> tuple[Column, Column]:
     return kind, F.when(bad, "unreadable").when(silent, "noAudio")
 
 
+def scan(files: DataFrame, probes: DataFrame, folder: str, recursive: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(files, summary) of a scanned folder: its listed files with duration, streams, role and warning, the play-all among them found by lengths; and one row with
+    the play-all, the number of candidates, the show that the folder is named after and how many warnings there are.
+
+    files: path relative to the folder; probes: path, raw (probe JSON, null where probing failed)."""
+    from cinelake.functions import naming
+    from cinelake.operators import scoring
+
+    probed = listed(files, recursive).join(probes, "path", "left").withColumn("p", parse(F.col("raw")))
+    kind, warning = role(F.col("raw").isNull(), F.col("p"))
+    told = probed.select(F.col("path").alias("file_id"), F.col("p.duration_s").alias("duration_s"), F.size("p.chapters").alias("n_chapters"), kind.alias("role"), warning.alias("warning"), F.lit(0).alias("_one"))
+    found = scoring.play_all(told.filter("role = 'candidate'"), ["_one"]).filter("is_play_all").select("file_id", F.lit(True).alias("_all"))
+    told = told.join(found, "file_id", "left").withColumn("role", F.when(F.col("_all"), "playAll").otherwise(F.col("role"))).drop("_all", "_one")
+    summary = told.agg(F.max(F.when(F.col("role") == "playAll", F.col("file_id"))).alias("play_all"), F.count_if(F.col("role") == "candidate").alias("n_candidates"), F.count("warning").alias("n_warnings"))
+    return told, summary.withColumn("show_guess", F.lit(naming.guess_show(folder)))
+
+
 def listed(files: DataFrame, recursive: bool = False) -> DataFrame:
     """Video files of a listing (path relative to its root): none that is hidden or in a disc structure, by id."""
     parts = F.split("path", "/")

@@ -296,3 +296,84 @@ def test_correlations_at_offsets(spark):
         shared = [(x, vectors[v][i + o]) for i, x in enumerate(vectors[q]) if 0 <= i + o < len(vectors[v])]
         norm = sum(x * x for x, _ in shared) ** 0.5 * sum(y * y for _, y in shared) ** 0.5
         assert got[q, v, o].rows_inside == len(shared) and abs(got[q, v, o].correlation - (sum(x * y for x, y in shared) / norm if norm else 0)) < 1e-6
+
+
+def invented(seed, n):
+    import random
+
+    rng = random.Random(seed)
+    return " ".join(rng.choice("tamber kestrel oblin farrow quist melder osk brindle havel sorrow the and of to".split()) for _ in range(n))
+
+
+def plain_coverage(query, doc, n_docs, df):
+    """Phrase by phrase: the rarest codes' places in the document, each window around them, the best ratio."""
+    from cinelake.functions import phonetic, similarity, words
+
+    asked, told = words.words(query), words.words(doc)
+    codes, held = [phonetic.phonetic_code(w) for w in asked], [phonetic.phonetic_code(w) for w in told]
+    last = max(0, (len(asked) + 3) // 6 - 1)
+    hit = total = 0.0
+    for k in range(last + 1):
+        at = [i for i in range(len(asked)) if min(i // 6, last) == k]
+        if not at:
+            continue
+        weight = sum(math.log(1 + (n_docs - df.get(asked[i], 1) + 0.5) / (df.get(asked[i], 1) + 0.5)) for i in at)
+        places = sorted((held.count(codes[i]), i - at[0], p) for i in at for p, c in enumerate(held) if c == codes[i])[:12]
+        starts = {p - off + s for _, off, p in places for s in (-1, 0, 1)}
+        found = [similarity.ratio(" ".join(asked[i] for i in at), " ".join(told[s : s + len(at)])) for s in starts if 0 <= s and s + len(at) <= len(told)]
+        hit += weight * min(1.0, max(0.0, (max(found, default=0.0) - 0.6) / 0.28))
+        total += weight
+    return hit / total if total else 0.0
+
+
+def test_phrase_coverage_of_all_pairs(spark):
+    from cinelake.functions import words
+    from cinelake.operators import coverage
+
+    queries = {k: invented(k, 5 + 4 * k) for k in range(6)} | {6: "", 7: None}
+    docs = {k: (queries[k % 6] or "") + " " + invented(40 + k, 30) if k % 2 else invented(60 + k, 50) for k in range(7)}
+    frame = lambda texts, key: spark.createDataFrame(list(texts.items()), f"{key} int, text string")
+    heard = coverage.tokens(frame(queries, "q"), ["q"])
+    frequency = heard.select("q", F.col("word").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("df"))
+    phrases = coverage.phrases(heard, frequency, F.lit(8), ["q"])
+    got = {(r.q, r.d): r.coverage for r in coverage.phrase_coverage(heard, coverage.tokens(frame(docs, "d"), ["d"]), phrases, "q", "d").collect()}
+    df = {}
+    for t in queries.values():
+        for w in set(words.words(t)):
+            df[w] = df.get(w, 0) + 1
+    for q, text in queries.items():
+        for d, doc in docs.items():
+            assert abs(got.get((q, d), 0.0) - plain_coverage(text, doc, 8, df)) < 1e-9
+    assert any(v == 1 for v in got.values()) and any(0 < v < 0.9 for v in got.values())
+
+
+def test_title_hook_against_every_window():
+    from cinelake.functions import phonetic, similarity, words
+    from cinelake.operators import coverage
+
+    for seed in range(200):
+        title, heard = invented(seed, 1 + seed % 4), invented(500 + seed, 12)
+        if seed % 3 == 0:
+            heard += " " + title
+        own, text = words.words(title), words.words(heard)
+        codes, told = [phonetic.phonetic_code(w) for w in own], [phonetic.phonetic_code(w) for w in text]
+        best = 0.0
+        for n in range(max(1, len(own) - 1), len(own) + 2):
+            for s in range(len(text) - n + 1):
+                if any(c in told[max(0, s - 1) : s + n + 1] for c in codes):
+                    best = max(best, similarity.ratio(" ".join(own), " ".join(text[s : s + n])), 0.95 * similarity.ratio(codes, told[s : s + n]))
+        most = min(1.0, max(0.0, (best - 0.7) / 0.25)) * words.title_specificity(own)
+        got = coverage.title_hook(title, heard) or 0.0
+        assert got <= most + 1e-9 and (seed % 3 or abs(got - words.title_specificity(own)) < 1e-9)
+    assert coverage.title_hook("", "x") is None and coverage.title_hook("[gone]", "gone") is None and coverage.title_hook("x", "") is None
+
+
+def test_scans_summarise_a_folder(spark):
+    from cinelake.sources import probe
+
+    files = spark.createDataFrame([("a.mkv",), ("b.mkv",), ("c.mkv",), ("d.mkv",), ("all.mkv",), ("x.txt",), ("bad.mkv",)], "path string")
+    raw = lambda s: f'{{"format": {{"duration": "{s}"}}, "streams": [{{"index": 0, "codec_type": "audio"}}]}}'
+    probes = spark.createDataFrame([(p, raw(s)) for p, s in (("a.mkv", 600), ("b.mkv", 610), ("c.mkv", 590), ("d.mkv", 600), ("all.mkv", 2400))] + [("bad.mkv", None)], "path string, raw string")
+    found, summary = probe.scan(files, probes, "/rips/Salt Harbour Disc 2")
+    assert {r.file_id: r.role for r in found.collect()} == {"a.mkv": "candidate", "b.mkv": "candidate", "c.mkv": "candidate", "d.mkv": "candidate", "all.mkv": "playAll", "bad.mkv": "ignored"}
+    assert summary.first().asDict() == {"play_all": "all.mkv", "n_candidates": 4, "n_warnings": 1, "show_guess": "Salt Harbour"}
