@@ -3,6 +3,11 @@
 Each stage takes what its predecessor kept, as written and read again, and returns the columns of documents;
 the last returns packed pieces. No SQL expresses the tokenizer or the fitted threshold: tests hold the stages
 against brute force.
+
+Defined cases, in every stage: null and empty texts and null ids are rows like others (quality rules reject texts of few words; nothing links them, nothing is
+cut or redacted in them, and each is packed with its separator); texts of any length are taken whole; repeated rows stay repeated, and are
+kept, cut and packed alike; ties go to the smaller id, then the earlier place; an empty table goes through as an empty table; other columns are
+carried along, whatever they are called. Nothing is gathered on the driver but counts that a parameter bounds.
 """
 
 from __future__ import annotations
