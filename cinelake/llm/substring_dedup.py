@@ -12,25 +12,28 @@ stretch of `long` words that occurs again is found by its words: a hash of 26 of
 content alone, and where that repeats the whole stretch is hashed. But for the first place, just its words go.
 
 Counting first combines before its shuffle; only runs that repeat are joined with their places, so that no task
-gathers a run's places, however common it is.
+gathers a run's places, however common it is. Texts move once to meet their lost runs; marks of stretches, which are few, are
+broadcast if their counted size is small, else texts move to them too.
 
-Defined cases: a null text has no sentence and stays null; texts without a word stay as they are; of rows that share
-an id, places are told apart by position alone, so that repeated rows keep what their first copy keeps; null ids come
-first; an empty table gives an empty result; columns other than doc_id and text are carried along.
+Defined cases: a null text has no sentence and stays null; texts without a word stay as they are; texts of any length are hashed whole; of
+rows that share an id, places are told apart by position alone, so that repeated rows keep what their first copy keeps, and a row whose
+text has other words at a place loses nothing there; null ids come first; ties are broken by (doc_id, position); an empty
+table gives an empty result; columns other than doc_id and text are carried along.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import set_batches, shielded, without, written
+from .common import BROADCAST_BYTES, set_batches, shielded, without, written
 
 WIDTH, LEAST, LONG = 3, 10, 50
 
@@ -41,7 +44,19 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 _WORD = re.compile(r"\S+")
 #: Words of the part that is chosen from a stretch.
 PART = 26
-_MASK = (1 << 64) - 1
+#: Words whose hashes a worker remembers.
+MEMO = 400_000
+
+
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < MEMO:
+            self[word] = h
+        return h
+
+
+_hashes = _Hashes()
 
 
 def cut(text: str) -> tuple[list[int], list[list[str]]]:
@@ -99,25 +114,46 @@ def runs(docs: list[list[list[str]]], width: int, least: int, long: int) -> tupl
     return doc[b] if total else b, b - first[b] if total else b, length, h1.view(np.int64), (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in a row, and where each text's begin, with the end."""
+    own = [t.lower().split() for t in texts]
+    ends = np.cumsum([0, *map(len, own)])
+    return np.fromiter((_hashes[w] for ws in own for w in ws), np.uint64, int(ends[-1])), ends
+
+
 def _sums(h: np.ndarray, size: int, factor: np.uint64) -> np.ndarray:
     """A hash of every `size` words in a row, of the words' hashes."""
     if len(h) < size:
         return np.zeros(0, np.uint64)
-    back = np.uint64(pow(int(factor), -1, _MASK + 1))
+    back = np.uint64(pow(int(factor), -1, 1 << 64))
     powers = lambda x: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(h), x))])
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(factor)[:-1], dtype=np.uint64)])
     return _mix((total[size:] - total[:-size]) * powers(back)[: len(h) - size + 1])
 
 
-def stretches(text: str, long: int) -> tuple[np.ndarray, ...]:
-    """Of every `long` words in a row: two hashes, and the hash and place of the part chosen from them."""
-    h = np.array([xxhash.xxh3_64_intdigest(w) for w in text.lower().split()], np.uint64)
+def _least(x: np.ndarray, size: int) -> np.ndarray:
+    """Place of the first least value of every `size` in a row, by windows that double."""
+    at, k = np.arange(len(x)), 1
+    while k < size:
+        step = min(k, size - k)
+        a, b = at[: len(at) - step], at[step:]
+        at = np.where(x[b] < x[a], b, a)
+        k += step
+    return at
+
+
+def chosen(h: np.ndarray, ends: np.ndarray, long: int) -> tuple[np.ndarray, ...]:
+    """Of every `long` words in a row of the texts of `_words`: text number, first word, and hash and place of the part chosen from them."""
     part = min(PART, long)
     if len(h) < long:
         return (np.zeros(0, np.int64),) * 4
     parts = _sums(h, part, _A)
-    place = np.lib.stride_tricks.sliding_window_view(parts, long - part + 1).argmin(axis=1) + np.arange(len(h) - long + 1)
-    return _sums(h, long, _B).view(np.int64), _sums(h, long, _C).view(np.int64), parts[place].view(np.int64), place
+    place = _least(parts, long - part + 1)
+    at = np.arange(len(place))
+    doc = np.searchsorted(ends, at, "right") - 1
+    on = at + long <= ends[doc + 1]
+    at, doc, place = at[on], doc[on], place[on]
+    return doc, at, parts[place].view(np.int64), place
 
 
 PLACES = "h1 bigint, h2 int, doc_id bigint, pos int, n int"
@@ -135,145 +171,178 @@ def places(docs: DataFrame, width: int, least: int, long: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(kernel, PLACES)
 
 
-def removals(docs: DataFrame, width: int = WIDTH, least: int = LEAST, long: int = LONG) -> DataFrame:
-    """doc_id, gone: for each document that loses any, its lost runs as (pos, n)."""
-    set_batches(docs.sparkSession)
-    found = written(places(docs, width, least, long), "places")
+def _later(found: DataFrame, name: str) -> DataFrame:
+    """Rows of `found` whose hashes have an earlier place, with the first: (doc_id, pos)."""
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("places")).filter(F.col("places") > 1).select("h1", "h2", "first")
     # a table of its own, so that a run with very many places can be split in the join; and a merge join at every
     # size: one that turned into a broadcast on small inputs would hide what large ones move
-    lost = found.join(written(first, "repeated").hint("merge"), ["h1", "h2"]).filter(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
-    return lost.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "n")).alias("gone"))
+    return found.join(written(first, name).hint("merge"), ["h1", "h2"]).filter(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
 
 
-def repeated(docs: DataFrame, long: int = LONG) -> DataFrame:
-    """doc_id, again: for each document that holds any, its stretches of `long` words that occur earlier, as (pos, start, h1): those
-    that overlap their first place go from `start` on, where it ends."""
+def removals(docs: DataFrame, width: int = WIDTH, least: int = LEAST, long: int = LONG) -> DataFrame:
+    """doc_id, gone: for each document that loses any, its lost runs as (pos, n, h1)."""
+    set_batches(docs.sparkSession)
+    found = written(places(docs, width, least, long), "places")
+    return _later(found, "repeated").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "n", "h1")).alias("gone"))
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc, text in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                # once for each place: neighbours mostly share theirs
-                *_, chosen, place = stretches(text or "", long)
-                if len(chosen):
-                    own = chosen[np.unique(place, return_index=True)[1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([doc.as_py()] * len(own), pa.int64())], ["part", "doc_id"])
+
+def _held(marks: DataFrame, own: str, name: str) -> DataFrame:
+    """A written table of (_id, marks), for broadcast where its counted marks fit."""
+    marks = written(marks.select(F.col("doc_id").alias("_id"), F.col(own).alias("_own")), name)
+    size = marks.agg(F.sum(32 + 40 * F.size("_own"))).first()[0] or 0
+    return F.broadcast(marks) if size <= BROADCAST_BYTES else marks.hint("merge")
+
+
+def repeated(cleaned: DataFrame, long: int = LONG) -> DataFrame:
+    """doc_id, again: for each document that holds any, its stretches of `long` words that occur earlier, as (pos, start, h1): those
+    that overlap their first place go from `start` on, where it ends. cleaned: doc_id, text, parts."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, text, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h1, h2, chosen, _ = stretches(text or "", long)
-                at = np.flatnonzero(np.isin(chosen, np.array(own, np.int64)))
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(h1[at]), pa.array(h2[at]), pa.array([doc] * len(at), pa.int64()), pa.array(at, pa.int32())], ["h1", "h2", "doc_id", "pos"])
-
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    # read twice: what is written is not hashed again
-    found = written(docs.mapInArrow(parts, "part bigint, doc_id bigint"), "chosen")
+            texts, own = [t or "" for t in b.column(1).to_pylist()], b.column(2).to_pylist()
+            h, ends = _words(texts)
+            doc, at, part, _ = chosen(h, ends, long)
+            on = np.zeros(len(doc), bool)
+            for i, parts in enumerate(own):
+                s, e = np.searchsorted(doc, [i, i + 1])
+                on[s:e] = np.isin(part[s:e], np.array(parts, np.int64))
+            doc, at = doc[on], at[on]
+            if len(doc):
+                h1, h2 = (_sums(h, long, k)[at].view(np.int64) for k in (_B, _C))
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), b.column(0).take(pa.array(doc)), pa.array((at - ends[doc]).astype(np.int32))], ["h1", "h2", "doc_id", "pos"])
+
+    found = cleaned.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.explode("parts").alias("part"))
     common = found.groupBy("part").agg(F.count("*").alias("places")).filter(F.col("places") > 1).select("part")
-    own = found.join(written(common, "parts").hint("merge"), "part").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("part").alias("own"))
-    places = docs.join(written(own, "holders").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "own").mapInArrow(whole, "h1 bigint, h2 bigint, doc_id bigint, pos int")
-    places = written(places, "stretches")
-    first = places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("places")).filter(F.col("places") > 1).select("h1", "h2", "first")
-    lost = places.join(written(first, "firsts").hint("merge"), ["h1", "h2"]).filter(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
+    own = found.join(written(common, "parts").hint("merge"), "part").groupBy("doc_id").agg(F.collect_set("part").alias("own"))
+    texts = cleaned.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(_held(own, "own", "holders"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    places = written(texts.select("doc_id", "text", "_own").mapInArrow(whole, "h1 bigint, h2 bigint, doc_id bigint, pos int"), "stretches")
     start = F.when(F.col("doc_id").eqNullSafe(F.col("first.doc_id")), F.greatest("pos", F.col("first.pos") + long)).otherwise(F.col("pos")).alias("start")
-    return lost.groupBy("doc_id").agg(F.collect_set(F.struct("pos", start, "h1")).alias("again"))
+    return _later(places, "firsts").groupBy("doc_id").agg(F.collect_set(F.struct("pos", start, "h1")).alias("again"))
+
+
+def _merged(lost: np.ndarray) -> list[tuple[int, int]]:
+    """Spans of a mask."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], lost.astype(np.int8), [0]])))
+    return [(int(s), int(e)) for s, e in edges.reshape(-1, 2)]
 
 
-def _without_words(text: str, again: list, removed: str, long: int) -> tuple[str, int, str]:
-    """A text less the words of stretches (pos, start, h1), how many sentences that touches, and all lost stretches in the old text."""
-    words, h1 = [m.start() for m in _WORD.finditer(text)], stretches(text, long)[0]
-    out = np.zeros(len(words) + 1, bool)
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
+    return "".join(text[s:e] for s, e in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(text)], strict=True))
+
+
+def _lost_sentences(texts: list[str], gone: pa.ListArray, width: int, least: int, long: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """Of each text the spans of the sentences in lost runs, and how many these are. Runs that only another text of the same id holds do not count."""
+    if not texts:
+        return []
+    cuts = [cut(t) for t in texts]
+    doc, pos, n, h1, _ = runs([words for _, words in cuts], width, least, long)
+    key = lambda doc, pos, n, h1: _mix(_mix(_mix(h1.astype(np.uint64) + _A) + pos.astype(np.uint64) * _C + n.astype(np.uint64)) + doc.astype(np.uint64))
+    lost = gone.flatten()
+    own = np.repeat(np.arange(len(texts)), np.diff(gone.offsets.to_numpy()))
+    first, many, h = (lost.field(c).to_numpy().astype(np.int64) for c in ("pos", "n", "h1"))
+    with np.errstate(over="ignore"):
+        on = np.isin(key(own, first, many, h), key(doc, pos, n, h1))
+    # a slot for each sentence and one after each text; runs open and close
+    size = np.array([len(starts) for starts, _ in cuts], np.int64)
+    base = np.cumsum(size + 1) - (size + 1)
+    edge = np.zeros(int((size + 1).sum()) + 1, np.int64)
+    np.add.at(edge, base[own[on]] + first[on], 1)
+    np.add.at(edge, base[own[on]] + first[on] + many[on], -1)
+    out, is_lost = [], np.cumsum(edge) > 0
+    for k, (starts, _) in enumerate(cuts):
+        mask, ends = is_lost[base[k] : base[k] + size[k]], [*starts, len(texts[k])]
+        out.append(([(ends[s], ends[e]) for s, e in _merged(mask)] if mask.any() else [], int(mask.sum())))
+    return out
+
+
+def _lost_words(text: str, again: list[dict], long: int) -> tuple[list[tuple[int, int]], int]:
+    """Spans of the words of lost stretches, and how many sentences these touch."""
+    bounds = [*(m.start() for m in _WORD.finditer(text)), len(text)]
+    h1, out = _sums(_words([text])[0], long, _B).view(np.int64), np.zeros(len(bounds) - 1, bool)
     for r in again:
         if r["pos"] < len(h1) and h1[r["pos"]] == r["h1"]:
             out[r["start"] : r["pos"] + long] = True
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], out]).astype(np.int8)))
-    bounds = [*words, len(text)]
-    spans = [(bounds[s], bounds[e]) for s, e in edges.reshape(-1, 2)]
+    spans = [(bounds[s], bounds[e]) for s, e in _merged(out)]
     starts = [*cut(text)[0], len(text)]
-    touched = sum(any(s < b and e > a for s, e in spans) for a, b in zip(starts, starts[1:], strict=False))
-    # a place of this text, in the old one: after all that was lost up to there
-    gone = [tuple(map(int, r.split(":"))) for r in removed.split(",") if r]
-    lost = list(gone)
-    for s, e in spans:
-        for a, b in gone:
-            s, e, cut_at = (s + b - a, e + b - a, None) if a <= s else (s, e, a)
-            if cut_at is not None and cut_at < e:
-                lost.append((s, a))
-                s, e = b, e + b - a
-        lost.append((s, e))
-    joined: list = []
-    for s, e in sorted(lost):
-        if joined and s <= joined[-1][1]:
-            joined[-1] = (joined[-1][0], max(e, joined[-1][1]))
-        else:
-            joined.append((s, e))
-    kept, last = [], 0
+    return spans, max(sum(any(s < b and e > a for s, e in spans) for a, b in zip(starts, starts[1:], strict=False)), bool(spans))
+
+
+def _in_old(spans: list[tuple[int, int]], gone: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
+    """All that is lost, in the old text: `gone` of it, and `spans` of the `length` characters that were left."""
+    lost = np.zeros(length + sum(e - s for s, e in gone), bool)
+    for s, e in gone:
+        lost[s:e] = True
+    kept = np.flatnonzero(~lost)
     for s, e in spans:
-        kept.append(text[last:s])
-        last = e
-    return "".join([*kept, text[last:]]), touched, ",".join(f"{s}:{e}" for s, e in joined)
+        lost[kept[s:e]] = True
+    return _merged(lost)
 
 
-def _without_repeated(made: DataFrame, long: int) -> DataFrame:
-    """Cleaned rows less the stretches of words that are left twice."""
-    again = written(repeated(made, long), "again").select(F.col("doc_id").alias("_id"), F.col("again").alias("_again"))
-    fields = made.schema.fields
-    at = {f.name: i for i, f in enumerate(fields)}
-    lost = made.join(again.hint("merge"), F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left").drop("_id")
+def _mapped(rows: DataFrame, fields: list, kernel: Callable[[pa.RecordBatch, dict], dict], more: str) -> DataFrame:
+    """`rows` with the columns that `kernel` makes of a batch in place of those of the same name, and `more` at the end."""
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            new = {c: b.column(at[c]).to_pylist() for c in ("text", "n_removed", "removed")}
-            for k, own in enumerate(b.column(len(fields)).to_pylist()):
-                if own and new["text"][k]:
-                    new["text"][k], n, new["removed"][k] = _without_words(new["text"][k], own, new["removed"][k], long)
-                    new["n_removed"][k] += n
-            columns = [pa.array(new[f.name], b.column(i).type) if f.name in new else b.column(i) for i, f in enumerate(fields)]
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+            made = kernel(b, {n: b.column(i) for i, n in enumerate(b.schema.names)})
+            columns = {f.name: made.pop(f.name, b.column(i)) for i, f in enumerate(fields)} | made
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return rows.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [more] * bool(more)))
+
+
+def _marked(b: dict) -> list[int]:
+    """Rows that have both a text and marks."""
+    return np.flatnonzero(pc.and_(b["_own"].is_valid(), b["text"].is_valid()).to_numpy(zero_copy_only=False)).tolist()
 
-    return lost.mapInArrow(kernel, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
+
+def _replaced(column: pa.Array, new: dict[int, object]) -> pa.Array:
+    if not new:
+        return column
+    mask = np.zeros(len(column), bool)
+    mask[list(new)] = True
+    return pc.replace_with_mask(column, pa.array(mask), pa.array([new[k] for k in sorted(new)], column.type))
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, least: int = LEAST, long: int = LONG) -> DataFrame:
-    """`docs` with the text cleaned, and n_sentences, n_removed, removed (start:end of the lost stretches in the old
-    text, code points, comma-joined). n_chars follows where there is such a column; a column of `docs` with a result's
+    """`docs` with the text cleaned, and n_removed (sentences that lost anything) and removed (start:end of what is lost in the
+    old text, code points, comma-joined). n_chars follows where there is such a column; a column of `docs` with a result's
     name gives way."""
-    docs, restored = shielded(without(docs, ["n_sentences", "n_removed", "removed"]))
-    gone = written(removals(docs, width, least, long), "removals").select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone"))
-    lost = docs.join(gone.hint("merge"), F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left").drop("_id")
-    fields = [f for f in docs.schema.fields]
-    text_at, gone_at = docs.columns.index("text"), len(fields)
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, counts, cuts, spans = b.column(text_at).to_pylist(), [], [], []
-            for k, (text, own) in enumerate(zip(texts, b.column(gone_at).to_pylist(), strict=True)):
-                starts = cut(text or "")[0]
-                counts.append(len(starts))
-                out = np.zeros(len(starts) + 1, bool)
-                for r in own or ():
-                    out[r["pos"] : r["pos"] + r["n"]] = True
-                cuts.append(int(out.sum()))
-                stretches = []
-                if out.any():
-                    edges = np.flatnonzero(np.diff(np.concatenate([[False], out]).astype(np.int8)))
-                    ends = [*starts, len(text)]
-                    stretches = [(ends[s], ends[e]) for s, e in edges.reshape(-1, 2)]
-                    kept, last = [], 0
-                    for s, e in stretches:
-                        kept.append(text[last:s])
-                        last = e
-                    texts[k] = "".join([*kept, text[last:]])
-                spans.append(",".join(f"{s}:{e}" for s, e in stretches))
-            columns = [pa.array(texts, pa.string()) if i == text_at else b.column(i) for i in range(len(fields))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32()), pa.array(cuts, pa.int32()), pa.array(spans)], names=[*(f.name for f in fields), "n_sentences", "n_removed", "removed"])
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["n_sentences int, n_removed int, removed string"])
-    made = _without_repeated(written(lost.mapInArrow(kernel, schema), "cleaned"), long)
+    docs, restored = shielded(without(docs, ["n_removed", "removed"]))
+    joined = lambda spans: ",".join(f"{s}:{e}" for s, e in spans)
+
+    def sentences(_: pa.RecordBatch, b: dict) -> dict:
+        new, counts, removed = {}, np.zeros(len(b["text"]), np.int32), [""] * len(b["text"])
+        marked = _marked(b)
+        old = b["text"].take(pa.array(marked, pa.int64())).to_pylist()
+        for k, text, (spans, counts[k]) in zip(marked, old, _lost_sentences(old, b["_own"].take(pa.array(marked, pa.int64())), width, least, long), strict=True):
+            if spans:
+                new[k], removed[k] = _without(text, spans), joined(spans)
+        texts = _replaced(b["text"], new)
+        h, ends = _words([t or "" for t in texts.to_pylist()])
+        of, _, part, place = chosen(h, ends, long)
+        # once for each place: neighbours mostly share theirs
+        first = np.flatnonzero(np.diff(place, prepend=-1) | np.diff(of, prepend=-1))
+        parts = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[first], np.arange(len(texts) + 1)).astype(np.int32)), pa.array(part[first]))
+        return {"text": texts, "n_removed": pa.array(counts), "removed": pa.array(removed, pa.string()), "parts": parts}
+
+    def words(_: pa.RecordBatch, b: dict) -> dict:
+        new, counts, removed = {}, {}, {}
+        for k in _marked(b):
+            text, gone = b["text"][k].as_py(), [tuple(map(int, r.split(":"))) for r in b["removed"][k].as_py().split(",") if r]
+            spans, n = _lost_words(text, b["_own"][k].as_py(), long)
+            if spans:
+                new[k], counts[k], removed[k] = _without(text, spans), b["n_removed"][k].as_py() + n, joined(_in_old(spans, gone, len(text)))
+        return {"text": _replaced(b["text"], new), "n_removed": _replaced(b["n_removed"], counts), "removed": _replaced(b["removed"], removed)}
+
+    gone = written(removals(docs, width, least, long), "removals").select(F.col("doc_id").alias("_id"), F.col("gone").alias("_own"))
+    at = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id"))
+    cleaned = written(_mapped(docs.join(gone.hint("merge"), at, "left").drop("_id"), docs.schema.fields, sentences, "n_removed int, removed string, parts array<bigint>"), "cleaned")
+    again = _held(repeated(cleaned, long), "again", "again")
+    rows = cleaned.drop("parts")
+    made = _mapped(rows.join(again, at, "left").drop("_id"), rows.schema.fields, words, "")
     if "n_chars" in docs.columns:
         made = made.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return restored(made, "n_sentences", "n_removed", "removed")
+    return restored(made, "n_removed", "removed")
 
 
 def clean(docs: DataFrame) -> DataFrame:
