@@ -91,3 +91,23 @@ def test_packing(stages):
         want |= {(i, k): (2048 * k, zlib.crc32(np.array(ids[2048 * k : 2048 * k + 2048], "<u4").tobytes())) for k in range(-(-len(ids) // 2048))}
     assert {(r.doc_id, r.piece): (r.start, r.ids_crc32) for r in rows} == want and len(rows) == len(want)
     assert gapless(rows, 2048) <= 1.1 * math.ceil(sum(r.length for r in rows) / 2048)
+
+
+@pytest.mark.parametrize("case", ["nulls", "empty"])
+def test_stages_take_odd_rows(spark, case):
+    """Null and empty texts, ids and other columns, repeated rows, a very long text and columns named like the operators' own, through every stage."""
+    text = spark.read.parquet(f"{SF}/documents.parquet").filter("n_chars > 600 and lang = 'en'").orderBy("doc_id").first().text
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, removed string, spans string, _salt int, n int, label string, `a.b` int"
+    rows = [(1, text), (1, text), (2, None), (3, ""), (None, text), (4, " \n"), (5, text + " and more at the end of it"), (6, "word " * 30_000), (7, text.upper())]
+    docs = spark.createDataFrame([(i, t, None, "s", None if t is None else len(t), "k", "r", "s", 3, 4, "l", 5) for i, t in rows], schema)
+    docs = docs.limit(0) if case == "empty" else docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, SF)
+        held = made.collect()
+        assert made.columns == docs.columns and len(held) <= docs.count(), name
+        assert all((r.kept, r.removed, r.spans, r._salt, r.n, r.label, r["a.b"]) == ("k", "r", "s", 3, 4, "l", 5) for r in held), name
+        if name != "quality rules":  # which rejects texts of few words
+            assert {r.doc_id for r in held} >= {r.doc_id for r in docs.collect() if r.doc_id != 7 or name != "MinHash near-dedup"} - {5, 7}, name
+        docs = spark.createDataFrame(held, docs.schema) if name == "quality rules" and held else docs
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert len({(r.doc_id, r.piece, r.sequence_id, r.offset) for r in packed}) == len(packed) and bool(packed) == (case == "nulls")

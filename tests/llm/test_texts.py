@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -75,6 +76,18 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert len(after) == 2 and all(r.scanned == ["hex@2"] for r in after)
 
 
+def test_findings_are_of_current_versions(spark, tmp_path):
+    """A rule's second version finds nothing: what its first found is not given out with it, and is with the first."""
+    path = f"file://{tmp_path}/ledger"
+    docs = secret_ledger.address(frame(spark, [SECRET, "nothing", SECRET]))
+    secret_ledger.update_ledger(docs, path)
+    blind = tuple(secret_ledger.Rule("assign", 2, "never-there", 0, 8) if r.kind == "assign" else r for r in secret_ledger.RULES)
+    ledger = secret_ledger.update_ledger(docs, path, blind)
+    kinds = lambda rules: {r.doc_id: [s.kind for s in r.spans] for r in secret_ledger.findings(docs, ledger, ["doc_id"], rules).collect()}
+    assert kinds(blind) == {0: ["access"], 1: [], 2: ["access"]}
+    assert kinds(secret_ledger.RULES) == {0: ["assign", "access"], 1: [], 2: ["assign", "access"]}
+
+
 def test_redaction_keeps_everything_else(spark):
     docs = frame(spark, SECRETS + [SECRET], ids=[*range(len(SECRETS)), None])
     out = secret_ledger.redact(docs)
@@ -108,6 +121,17 @@ def test_quality_metrics(spark, prose):
         assert r.kept == (not r.base_failed)  # no labels: nothing more is rejected
 
 
+def test_quality_of_very_long_and_repeated_texts(spark, prose):
+    long = prose(40_000, 12) + "\n" + " ".join(["again and again"] * 3)
+    texts = [long, prose(90, 13), prose(90, 13)]
+    rows = quality_llr.judge(frame(spark, texts, ids=[0, 1, 1]), spark.createDataFrame([], "doc_id bigint, quality int")).collect()
+    words = re.findall(r"[^\x20\x09-\x0D]+", long)
+    assert {(r.doc_id, r.n_words, r.kept) for r in rows} == {(0, len(words), True), (1, 90, True)} and len(rows) == 3
+    whole = next(r for r in rows if r.doc_id == 0)
+    assert whole.word_chars == sum(map(len, words)) and whole.n_repeat_words >= 9  # the last line counts
+    assert len({r.score for r in rows if r.doc_id == 1}) == 1
+
+
 def test_quality_tells_junk_from_prose(spark, prose):
     good = [prose(120, s) for s in range(120)]
     bad = [prose(120, 1000 + s).upper().replace(" ", "!! ") for s in range(40)]
@@ -148,9 +172,33 @@ def test_toxicity_learns_and_locates(spark, prose):
     assert all(r.score == 0 for r in empty) and toxicity_mil.detect(docs.limit(0), spark.createDataFrame(labels, "doc_id bigint, toxic int")).count() == 0
 
 
+def test_toxicity_is_the_noisy_or_of_sentences(spark, prose):
+    """Scores of given weights against the product, sentence by sentence."""
+    rng = random.Random(9)
+    texts = [prose(rng.randint(1, 120), 70 + k) for k in range(60)] + [None, "", "...", "One.Two!\nThree", "É é É. é", LONG, "One. One. Two"]
+    known = sorted({w for t in texts for w in re.findall(r"[^\W\d_]+", (t or "").lower())})
+    weights = {f: rng.uniform(-2, 3) for w in rng.sample(known, 40) for f in (w, "^" + w[:4]) if len(f) > 2}
+    docs = frame(spark, texts)
+    for r in toxicity_mil.score(docs, weights, -1.5).collect():
+        left, worst, n = 1.0, -math.inf, 0
+        for m in re.finditer(r"[^.!?\n]+", texts[r.doc_id] or ""):
+            words = re.findall(r"[^\W\d_]+", m[0].lower())
+            if not words:
+                continue
+            z = -1.5 + sum(weights.get(w, 0) + sum(weights.get("^" + w[:k], 0) for k in range(4, min(8, len(w)))) for w in words)
+            p = 1 / (1 + math.exp(-max(-700, min(700, z))))
+            left, n = left * (1 - p), n + 1
+            if z > worst + 1e-9:
+                worst, span = z, (m.start(), m.end())
+        assert abs(r.score - (1 - left)) < 1e-9 and r.n_sentences == n
+        assert (r.worst_start, r.worst_end) == (span if worst >= 0 else (None, None))
+    twice = toxicity_mil.score(frame(spark, ["a b", "a b"], ids=[3, 3]), weights, 0.5).collect()
+    assert len(twice) == 2 and twice[0].score == twice[1].score
+
+
 # --- tokens
 
-ODD = [None, "", "It's 1,000 ÉCOLE ß ²", "Σίσυφος ΟΔΟΣ İstanbul 中文 字\x1c ẋ", "  \n\n\t tabs ", "don'T 's're", "<|endoftext|> a", "a" * 3000, LONG, "\x85\xa0nbsp é"]
+ODD = [None, "", "a<|endoftext|>b <|EndOfText|> é<|startoftext|>", "It's 1,000 ÉCOLE ß ²", "Σίσυφος ΟΔΟΣ İstanbul 中文 字\x1c ẋ", "  \n\n\t tabs ", "don'T 's're", "<|endoftext|> a", "a" * 3000, LONG, "\x85\xa0nbsp é"]
 
 
 def test_byte_bpe_equals_the_library(spark, prose):
@@ -181,7 +229,7 @@ def test_packing_holds_every_token_once(spark, prose):
     docs = frame(spark, texts, ids=[None, *range(1, len(texts))])
     rows = packing.pack_documents(docs, path, capacity=256).collect()
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    assert 49407 in t.encode("<|endoftext|> a", add_special_tokens=False).ids
     want = {}
     for i, text in enumerate(texts):
         ids = t.encode(text or "", add_special_tokens=False).ids + [0]
@@ -205,21 +253,41 @@ def gapless(rows, capacity):
     return len(held)
 
 
+def held_once(planned, counts, capacity=2048):
+    got = {}
+    for config, n in planned.configs:
+        for l, k in config:
+            got[l] = got.get(l, 0) + n * k
+        assert sum(l * k for l, k in config) <= capacity
+    return got == counts
+
+
 def test_plan_is_near_the_bound(spark):
     rng = random.Random(2)
     lengths = [rng.choice([1, 17, 100, 333, 500, 777, 1000, 1500, 2048]) for _ in range(20_000)]
     counts = {l: lengths.count(l) for l in set(lengths)}
     planned = packing.plan(counts)
-    got = {}
-    for config, n in planned:
-        for l, k in config:
-            got[l] = got.get(l, 0) + n * k
-        assert sum(l * k for l, k in config) <= 2048
-    assert got == counts
-    best = sum(packing.best_fit(counts, 2048).values())
-    assert sum(n for _, n in planned) <= 1.01 * best
+    assert held_once(planned, counts)
+    assert sum(n for _, n in planned.configs) <= sum(packing.best_fit(counts, 2048).values())
     pieces = spark.createDataFrame([(i, 0, 0, l, i % 5) for i, l in enumerate(lengths)], packing.PIECES)
-    assert gapless(packing.pack(pieces).collect(), 2048) == sum(n for _, n in planned)
+    assert gapless(packing.pack(pieces).collect(), 2048) == sum(n for _, n in planned.configs)
+    assert packing.plan({}).configs == [] and packing.plan({7: 1}).configs == [(((7, 1),), 1)]
+
+
+@pytest.mark.parametrize(("pieces", "times"), [(200, 1), (1000, 1), (1000, 500)])
+def test_plan_comes_from_the_program(pieces, times):
+    """Lengths of texts, few or many of each: within 1 % or one sequence of the dual's bound, never more than best fit alone, and mostly of rounded configurations."""
+    rng = random.Random(pieces)
+    counts = {}
+    for _ in range(pieces):
+        l = int(rng.lognormvariate(5.8, 1.0)) % 1900 + 2
+        counts[l] = counts.get(l, 0) + times
+    planned = packing.plan(counts)
+    made = planned.by_program + planned.by_knapsack + planned.by_best_fit
+    volume = sum(l * n for l, n in counts.items()) / 2048
+    assert held_once(planned, counts) and volume - 1e-6 <= planned.bound <= made
+    assert made <= max(math.ceil(planned.bound) + 1, 1.01 * planned.bound) and made <= sum(packing.best_fit(counts, 2048).values())
+    assert planned.by_program > 0.5 * made and planned.by_best_fit < 0.3 * made
 
 
 # --- near-duplicates
@@ -299,16 +367,86 @@ def test_large_groups_of_different_near_copies_stay_whole(spark):
     assert len(near) > 2500 and near <= {r.doc_id for r in rows if r.component_id == 0}
 
 
+def variants(n, words, edits, seed):
+    """A template with `edits` words changed, `n` times; half of the changes are shared by others."""
+    rng = random.Random(seed)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(words)]
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for k in rng.sample(range(words), edits):
+            own[k] += str(rng.randrange(3) if rng.random() < 0.5 else rng.random())
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize(("region", "edits"), [(256, 9), (8, 9), (8, 5)])
+def test_regions_of_any_size_keep_every_link(spark, region, edits):
+    """900 variants of one template, of which many link with few others or with none."""
+    texts = variants(900, 300, edits, 11)
+    sets = [set(minhash_forest.shingles(t).tolist()) for t in texts]
+    root = list(range(900))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for b in range(900):
+        for a in range(b):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    rows = minhash_forest.link(frame(spark, texts), region=region).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {i: find(i) for i in range(900)}
+
+
+def test_very_long_texts_link_whole(spark, prose):
+    """Equal but for their last tenth, and equal in their first tenth only."""
+    base = prose(60_000, 31)
+    head, tail = base[: 9 * len(base) // 10], base[9 * len(base) // 10 :]
+    texts = [base, head + " " + prose(6_000, 32), tail + " " + prose(54_000, 33)]
+    rows = minhash_forest.link(frame(spark, texts)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == {i: (len(minhash_forest.shingles(t)), (0, 0, 2)[i]) for i, t in enumerate(texts)}
+
+
 # --- repeated passages
 
 
+def plain_cut(text):
+    """Starts of a text's sentences, the end, and their words. A piece goes up to the last of some end marks and the white space after it; one
+    without letters or digits is no sentence."""
+    starts, words, i = [], [], 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] not in ".!?\n":
+            j += 1
+        while j < len(text) and text[j] in ".!?\n":
+            j += 1
+        while j < len(text) and text[j].isspace():
+            j += 1
+        if any(c.isalnum() for c in text[i:j]):
+            starts.append(i)
+            words.append(text[i:j].lower().split())
+        i = j
+    return [0, *starts[1:], len(text)], words
+
+
 def plain_dedup(texts, width=3, least=10, long=50):
-    cuts = {i: substring_dedup.cut(t or "") for i, t in texts.items()}
-    seen, gone = {}, {i: set() for i in texts}
+    """Runs of sentences, then of what is left any `long` words in a row."""
+
+    def without(texts, seen):
+        gone = {i: set() for i in texts}
+        for places in seen.values():
+            for i, _, lost in sorted(places, key=lambda x: x[:2])[1:]:
+                gone[i] |= set(lost)
+        return {i: t if t is None else "".join(c for k, c in enumerate(t) if k not in gone[i]) for i, t in texts.items()}
+
+    seen = {}
     for i in sorted(texts):
-        _, s = cuts[i]
-        found = set()
+        at, s = plain_cut(texts[i] or "")
         n = lambda a, b: sum(len(x) for x in s[a:b])
+        found = set()
         for k in range(len(s)):
             ends = [e for e in range(k + width, len(s) + 1) if n(k, e) >= least]
             found |= {(k, ends[0])} if ends else set()
@@ -316,15 +454,17 @@ def plain_dedup(texts, width=3, least=10, long=50):
             found |= {(starts[0], k + 1)} if starts else set()
             found |= {(k, k + w) for w in range(1, width) if k + w <= len(s) and n(k, k + w) >= long}
         for a, b in found:
-            seen.setdefault(tuple(" ".join(x) for x in s[a:b]), []).append((i, a, b))
-    for places in seen.values():
-        for i, a, b in sorted(places)[1:]:
-            gone[i] |= set(range(a, b))
-    out = {}
-    for i, t in texts.items():
-        ends = [*cuts[i][0], len(t or "")]
-        out[i] = None if t is None else t if not gone[i] else "".join(t[ends[k] : ends[k + 1]] for k in range(len(ends) - 1) if k not in gone[i])
-    return out
+            seen.setdefault(tuple(" ".join(x) for x in s[a:b]), []).append((i, a, range(at[a], at[b])))
+    texts, seen = without(texts, seen), {}
+    for i in sorted(texts):
+        own = [(m.start(), m[0].lower()) for m in re.finditer(r"\S+", texts[i] or "")]
+        ends = [*(p for p, _ in own), len(texts[i] or "")]
+        for k in range(len(own) - long + 1):
+            places = seen.setdefault(tuple(w for _, w in own[k : k + long]), [(i, k, range(0))])
+            if places[0][:2] != (i, k):
+                start = max(k, places[0][1] + long) if places[0][0] == i else k
+                places.append((i, k, range(ends[start], ends[k + long])))
+    return without(texts, seen)
 
 
 def test_passages_go_but_for_their_first(spark, prose):
@@ -343,6 +483,8 @@ def test_passages_go_but_for_their_first(spark, prose):
     assert substring_dedup.dedup(docs.limit(0)).count() == 0
     twice = substring_dedup.dedup(frame(spark, [passage, passage, passage], ids=[None, 3, 3])).collect()
     assert sorted((r.doc_id or 0, bool(r.text)) for r in twice) == [(0, True), (3, False), (3, False)]
+    other = substring_dedup.dedup(frame(spark, [passage, prose(70, 6) + ".", passage], ids=[1, 2, 2])).collect()
+    assert sorted(r.text for r in other if r.text) == sorted([passage, prose(70, 6) + "."])  # an id's other text keeps its words
 
 
 def test_passages_across_sentences_go(spark, prose):
@@ -361,6 +503,14 @@ def test_passages_across_sentences_go(spark, prose):
         assert kept == r.text and (r.n_removed > 0) == (r.doc_id in (1, 3))
 
 
+def test_very_long_texts_lose_what_repeats(spark, prose):
+    """A passage deep inside a text of 60,000 words, and the same one in a short text after it."""
+    passage = prose(70, 41).replace(".", "")
+    texts = [f"{prose(50_000, 42)}. {passage} {prose(10_000, 43)}", f"{prose(20, 44)} {passage} {prose(20, 45)}"]
+    rows = {r.doc_id: r for r in substring_dedup.dedup(frame(spark, texts)).collect()}
+    assert rows[0].text == texts[0] and rows[1].text == texts[1].replace(passage + " ", "")
+
+
 def test_no_long_stretch_is_left_twice(spark):
     rows = substring_dedup.dedup(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
     first = {}
