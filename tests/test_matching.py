@@ -25,6 +25,14 @@ def misheard(text, seed, share=0.15):
     return " ".join(w if rng.random() > share else w[:-1] + rng.choice("aeiou") if rng.random() < 0.6 else "" for w in text.split())
 
 
+def match_files(files, episodes, texts, positions=None):
+    return matching.match_files(files, episodes, texts, positions, keep=lambda df, _: df.cache())
+
+
+def score_all(files, episodes, texts, positions=None):
+    return matching.score_all(files, episodes, texts, positions, keep=lambda df, _: df.cache())
+
+
 SHOW = [told(s) for s in range(6)]
 TITLES = ["The Copper Lantern", "A Winter Crossing", "Nine Marbles", "The Quiet Harbour", "Borrowed Thunder", "Salt and Paper"]
 
@@ -49,7 +57,7 @@ def test_files_find_their_episodes(show):
     order = [4, 1, 5, 0, 2]
     files = [(f"t{k}", 610.0, misheard(SHOW[e], 50 + k), None, False) for k, e in enumerate(order)]
     files += [("bonus", 300.0, told(99), None, False), ("silent", 600.0, "", None, False)]
-    got = by_file(matching.match_files(*show(files)))
+    got = by_file(match_files(*show(files)))
     assert [got[f"t{k}"].number for k in range(5)] == [e + 1 for e in order]
     assert all(got[f"t{k}"].verdict == "Confident" for k in range(5))
     assert got["bonus"].season is None or got["bonus"].verdict != "Confident"
@@ -62,7 +70,7 @@ def test_files_find_their_episodes(show):
 
 def test_score_matrix_covers_every_pair(show):
     files = [(f"t{k}", 600.0, misheard(SHOW[k], k), None, False) for k in range(3)] + [("silent", 600.0, "  ", None, False)]
-    rows = matching.score_all(*show(files)).collect()
+    rows = score_all(*show(files)).collect()
     assert len(rows) == 4 * 6 and all(0 <= r.score <= 1 for r in rows)
     for r in rows:
         if r.file_id == "silent":
@@ -73,13 +81,13 @@ def test_score_matrix_covers_every_pair(show):
 
 def test_embedded_text_is_heard_in_place_of_the_transcript(show):
     files = [("a", 600.0, told(77), SHOW[3], False), ("b", 600.0, SHOW[2], "   ", False)]
-    got = by_file(matching.match_files(*show(files)))
+    got = by_file(match_files(*show(files)))
     assert got["a"].number == 4 and got["b"].number == 3
 
 
 def test_a_title_names_an_episode_where_little_is_heard(show):
     files = [("a", 600.0, "nine marbles", None, False)]
-    rows = {r.ord: r for r in matching.score_all(*show(files)).collect()}
+    rows = {r.ord: r for r in score_all(*show(files)).collect()}
     assert rows[2].title > 0.5 and all(rows[k].title == 0 for k in rows if k != 2) and all(r.dialogue is None for r in rows.values())
 
 
@@ -89,7 +97,7 @@ def test_summaries_stand_in_for_dialogue(show, spark):
 
     summaries = spark.createDataFrame([(k, " ".join(SHOW[k].split()[5:40])) for k in range(6)], "ord int, s string")
     episodes = episodes.join(summaries, "ord").withColumn("summary", F.col("s")).drop("s")
-    rows = {r.ord: r for r in matching.score_all(files, episodes, texts).collect()}
+    rows = {r.ord: r for r in score_all(files, episodes, texts).collect()}
     assert max(rows, key=lambda k: rows[k].dialogue) == 1 and rows[1].dialogue <= 0.8 and not rows[1].has_dialogue
 
 
@@ -99,14 +107,14 @@ def places(order, chapter=True):
 
 def test_order_fills_in_a_weak_file_but_is_no_proof(show):
     files = [(f"t{k}", 600.0, misheard(SHOW[k], k) if k != 2 else "mm hmm", None, False) for k in range(5)]
-    got = by_file(matching.match_files(*show(files, places=places(range(5)))))
+    got = by_file(match_files(*show(files, places=places(range(5)))))
     assert [got[f"t{k}"].number for k in range(5)] == [1, 2, 3, 4, 5] and all(r.used_order for r in got.values())
     assert got["t2"].verdict == "Check" and got["t1"].verdict == "Confident"
 
 
 def test_order_against_the_content_is_not_used(show):
     files = [(f"t{k}", 600.0, misheard(SHOW[k], k), None, False) for k in range(5)]
-    got = by_file(matching.match_files(*show(files, places=places(reversed(range(5))))))
+    got = by_file(match_files(*show(files, places=places(reversed(range(5))))))
     assert [got[f"t{k}"].number for k in range(5)] == [1, 2, 3, 4, 5] and not any(r.used_order for r in got.values())
 
 
@@ -115,21 +123,21 @@ def test_a_special_keeps_its_number_at_the_end_of_a_disc(show, spark):
 
     files, episodes, texts, at = show([(f"t{k}", 600.0, misheard(SHOW[k], k), None, False) for k in range(5)], places=places(range(5)))
     special = F.when(F.col("number") == 5, 0).otherwise(F.col("season"))
-    got = by_file(matching.match_files(files, episodes.withColumn("season", special), texts.withColumn("season", special), at))
+    got = by_file(match_files(files, episodes.withColumn("season", special), texts.withColumn("season", special), at))
     assert [(got[f"t{k}"].season, got[f"t{k}"].number) for k in range(5)] == [(1, 1), (1, 2), (1, 3), (1, 4), (0, 5)]
 
 
 def test_jobs_are_apart(show):
     one, two = (show([("a", 600.0, SHOW[k], None, False)], job=f"j{k}") for k in (1, 3))
     files, episodes, texts = (x.unionByName(y) for x, y in zip(one[:3], two[:3]))
-    got = {r.job_id: r.number for r in matching.match_files(files, episodes, texts).collect()}
+    got = {r.job_id: r.number for r in match_files(files, episodes, texts).collect()}
     assert got == {"j1": 2, "j3": 4}
 
 
 def test_interim_matches_are_made_file_by_file(show):
     files = [("a", 600.0, SHOW[2], None, False), ("b", 600.0, SHOW[2], None, False)]
-    assert {r.file_id: r.number for r in matching.interim(*show(files)[:3]).collect()} == {"a": 3, "b": 3}
-    together = by_file(matching.match_files(*show(files)))
+    assert {r.file_id: r.number for r in matching.interim(*show(files)[:3], keep=lambda df, _: df.cache()).collect()} == {"a": 3, "b": 3}
+    together = by_file(match_files(*show(files)))
     assert sorted((r.number or 0) == 3 for r in together.values()) == [False, True]
 
 
@@ -142,7 +150,7 @@ def test_listening_on_stops_when_nothing_is_added(show, spark):
         more = [("j", "a", 600.0, SHOW[4], None, False)] if len(asked) == 1 else []
         return spark.createDataFrame(more, FILES)
 
-    _, got = matching.escalate(listen, lambda f: matching.match_files(f, episodes, texts), files)
+    _, got = matching.escalate(listen, lambda f: match_files(f, episodes, texts), files)
     assert asked[0] == ["a"] and by_file(got)["a"].number == 5 and by_file(got)["a"].verdict == "Confident" and len(asked) <= 2
 
 
