@@ -93,9 +93,14 @@ def csv_rows(placed: DataFrame, job: str = "job_id") -> DataFrame:
     return placed.select(job, *(T.as_text(v).alias(k) for k, v in rows.items()))
 
 
+def plan_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows that one of two plans has more often than the other, with `change`: gone or new."""
+    return old.exceptAll(new).withColumn("change", F.lit("gone")).unionByName(new.exceptAll(old).withColumn("change", F.lit("new")))
+
+
 def same_plan(old: DataFrame, new: DataFrame) -> bool:
     """Whether a plan still is what it was: no row of either lacks in the other."""
-    return old.exceptAll(new).isEmpty() and new.exceptAll(old).isEmpty()
+    return plan_changes(old, new).isEmpty()
 
 
 def shared_episodes(decisions: DataFrame, job: str = "job_id") -> DataFrame:

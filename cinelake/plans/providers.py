@@ -584,15 +584,58 @@ s AS (SELECT conv_id, turn, 0 AS k, (turn % 5 * 60 + turn * 7 % 60)::DOUBLE AS a
 SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY at_s, turn, k) - 1 AS pos, at_s, line FROM s
 """
 
+def pln04_plan_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as plan rows, some of them twice, against a plan made later: what changed."""
+    p = table(spark, sf_dir, "part")
+    old = p.select((F.col("p_partkey") % 50).alias("job_id"), "p_name", "p_size")
+    new = p.filter("p_partkey % 13 > 0").select((F.col("p_partkey") % 50).alias("job_id"), "p_name", (F.col("p_size") + F.when(F.col("p_partkey") % 17 == 0, 1).otherwise(0)).alias("p_size"))
+    return renames.plan_changes(old, new)
+
+
+_CHANGES_SQL = """
+WITH o AS (SELECT p_partkey % 50 AS job_id, p_name, p_size FROM part), n AS (SELECT p_partkey % 50 AS job_id, p_name, (p_size + CASE WHEN p_partkey % 17 = 0 THEN 1 ELSE 0 END)::INTEGER AS p_size FROM part WHERE p_partkey % 13 > 0)
+SELECT *, 'gone' AS change FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM n) UNION ALL SELECT *, 'new' FROM (SELECT * FROM n EXCEPT ALL SELECT * FROM o)
+"""
+
+
+def ker11_added_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns heard in two passes, put together: all marked anew in order, and the stretches listened to, merged."""
+    turns = table(spark, sf_dir, "conversations")
+    text = F.when(F.col("turn") % 6 == 1, "please subscribe").when(F.col("turn") % 5 == 3, "(door) [slams (twice)]").when(F.col("turn") % 2 == 0, "Where is it?").otherwise("where, is it")
+    rows = turns.select("conv_id", (F.col("turn") * 2.0).alias("start_s"), (F.col("turn") * 2.0 + 1.5).alias("end_s"), text.alias("text"), F.lit(0.1).alias("no_speech_prob"), F.lit(-0.2).alias("avg_logprob"), F.lit("repeated").alias("filtered"))
+    windows = turns.select("conv_id", (F.col("turn") * 2.0).alias("start_s"), (F.col("turn") * 2.0 + 1 + F.col("turn") % 3).alias("end_s"))
+    marked, merged = segments.add_window(rows.filter("start_s % 4 = 0"), rows.filter("start_s % 4 != 0"), windows, ["conv_id"])
+    return marked.select("conv_id", "start_s", "filtered").unionByName(merged.select("conv_id", "start_s", F.concat(F.lit("until "), F.col("end_s").cast("int")).alias("filtered")))
+
+
+_ADDED_SQL = r"""
+WITH s AS (SELECT conv_id, turn, CASE WHEN turn % 6 = 1 THEN 'please subscribe' WHEN turn % 5 = 3 THEN 'door slams twice' ELSE 'where is it' END AS norm FROM conversations),
+p AS (SELECT *, lag(norm) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM s),
+i AS (SELECT conv_id, turn, turn * 2.0 AS a, turn * 2.0 + 1 + turn % 3 AS b FROM conversations), n AS (SELECT *, CASE WHEN max(b) OVER (PARTITION BY conv_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= a THEN 0 ELSE 1 END AS new FROM i),
+g AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY a) AS k FROM n)
+SELECT conv_id, (turn * 2)::DOUBLE AS start_s, CASE WHEN norm = 'please subscribe' THEN 'knownHallucination' WHEN norm = 'door slams twice' THEN 'noSpeech' WHEN norm = before THEN 'repeated' END AS filtered FROM p
+UNION ALL SELECT conv_id, min(a)::DOUBLE, 'until ' || max(b)::INTEGER FROM g GROUP BY conv_id, k
+"""
+
+
+def sca37_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named and numeric character references in parts' names, none decoded twice, unknown and over-long ones left."""
+    form = F.element_at(F.array(*[F.lit(x) for x in ("{n}&#233;&#x4E2D;", "&lt;{n}&gt;&amp;lt;", "{n}&bogus; &hellip;", "&#00000000000065;{n}", "&ldquo;{n}&rdquo;&nbsp;&mdash;", "&#xD800;{n}&#1114112;")]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", subtitles.column_udf(subtitles.decode_entities)(F.replace(form, F.lit("{n}"), F.col("p_name"))).alias("text"))
+
+
+_REFERENCES_SQL = "SELECT p_partkey, replace(['{n}é中', '<{n}>&lt;', '{n}&bogus; …', '&#00000000000065;{n}', '\"{n}\" —', '&#xD800;{n}&#1114112;'][p_partkey % 6 + 1], '{n}', p_name) AS text FROM part"
+
+
 QUERIES = {f.__name__: f for f in (
     fil05_streams, src06_probes, src02_listing, src12_found_shows, src12_episodes, joi14_dvd_numbering, src13_seasons, joi20_find_show, src14_packs, top05_season_texts, src15_lyrics, msc05_source_status,
     fil03_dialogue_texts, snk04_srt, sca31_subtitle_kinds, win02_finished_cues, src10_decoded, joi16_files_for, joi15_archive_episodes, agg22_review_counts, top06_recent_jobs, pln01_built_plan, sca55_untouched,
-    win14_preview, win15_next_to_review, top07_history, set07_left_behind, top08_reference_order, src01_scans, src11_archives, top12_lyric_lines,
+    win14_preview, win15_next_to_review, top07_history, set07_left_behind, top08_reference_order, src01_scans, src11_archives, top12_lyric_lines, pln04_plan_changes, ker11_added_windows, sca37_references,
 )}
 ORACLE_SQL = {
     "fil05_streams": _STREAMS_SQL, "src06_probes": _PROBES_SQL, "src02_listing": _LISTING_SQL, "src12_found_shows": _SHOWS_SQL, "src12_episodes": _EPISODES_SQL, "joi14_dvd_numbering": _DVD_SQL, "src13_seasons": _SEASONS_SQL,
     "joi20_find_show": _FIND_SQL, "src14_packs": _PACKS_SQL, "top05_season_texts": _SERVED_SQL, "src15_lyrics": _LYRICS_SQL, "msc05_source_status": _STATUS_SQL, "fil03_dialogue_texts": _DIALOGUE_SQL, "snk04_srt": _SRT_SQL,
     "sca31_subtitle_kinds": _KINDS_SQL, "win02_finished_cues": _CUES_SQL, "src10_decoded": _DECODED_SQL, "joi16_files_for": _FILES_SQL, "joi15_archive_episodes": _ENTRIES_SQL, "agg22_review_counts": _REVIEW_SQL,
     "top06_recent_jobs": _RECENT_SQL, "pln01_built_plan": _BUILT_SQL, "sca55_untouched": _UNTOUCHED_SQL, "win14_preview": _PREVIEW_SQL, "win15_next_to_review": _NEXT_SQL, "top07_history": _HISTORY_SQL, "set07_left_behind": _LEFT_SQL,
-    "top08_reference_order": _ORDERED_SQL, "src01_scans": _SCANS_SQL, "src11_archives": _ARCHIVES_SQL, "top12_lyric_lines": _LRC_SQL,
+    "top08_reference_order": _ORDERED_SQL, "src01_scans": _SCANS_SQL, "src11_archives": _ARCHIVES_SQL, "top12_lyric_lines": _LRC_SQL, "pln04_plan_changes": _CHANGES_SQL, "ker11_added_windows": _ADDED_SQL, "sca37_references": _REFERENCES_SQL,
 }
