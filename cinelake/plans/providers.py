@@ -270,12 +270,9 @@ n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, t) AS i F
 SELECT conv_id, md5(string_agg(i || chr(10) || printf('%02d:%02d:%02d,%03d', a // 3600000, a // 60000 % 60, a // 1000 % 60, a % 1000) || ' --> ' || printf('%02d:%02d:%02d,%03d', b // 3600000, b // 60000 % 60, b // 1000 % 60, b % 1000) || chr(10) || t || chr(10), chr(10) ORDER BY i)) AS srt_md5 FROM n GROUP BY conv_id
 """
 
-_SENTENCE = F.regexp_extract("text", r"^[^.,!?]*", 0)
-
-
 def _cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first words of each turn, dressed up as subtitles, as lyrics and as events of a styled file."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(_SENTENCE, r"[^\p{L} ]", " "), r"\s+", " "))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("text", r"^[^.,!?]*", 0), r"[^\p{L} ]", " "), r"\s+", " "))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", plain.alias("plain"))
 
 
