@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,35 @@ BROADCAST_BYTES = 8 << 20
 _local: dict[str, str] = {}
 
 
+#: Words whose hashes a worker remembers.
+MEMO = 400_000
+_memos: list[dict] = []
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, remembered as far as MEMO goes."""
+
+    def __missing__(self, word: bytes | str) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < MEMO:
+            self[word] = h
+        return h
+
+
+def remembered(memo: dict) -> dict:
+    """Registers what an operator's kernels remember in a worker, so that it can make room for another's."""
+    _memos.append(memo)
+    return memo
+
+
+def alone(memo: dict) -> dict:
+    """`memo`, after all others in this worker are emptied: workers outlive a stage, and would hold every stage's memory."""
+    for m in _memos:
+        if m is not memo and m:
+            m.clear()
+    return memo
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

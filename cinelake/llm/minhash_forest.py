@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, set_batches, small, written
+from .common import WordHashes, alone, drop_written, remembered, set_batches, small, written
 
 HASHES = 128
 TREES = 24
@@ -46,7 +46,6 @@ LIKELY = 0.58
 #: Classes in a block of a crowded region, and shingles they have on average; earlier neighbours a class is tried with there, of so many.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 TRIED, NEAR = 2, 32
-MEMO = 400_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -54,16 +53,7 @@ _B = np.uint64(0xC2B2AE3D27D4EB4F)
 _rng = np.random.default_rng(20240101)
 _MULTIPLY = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < MEMO:
-            self[word] = h
-        return h
-
-
-_hashes = _Hashes()
+_hashes = remembered(WordHashes())
 
 
 def shingles(text: str, size: int = 5) -> np.ndarray:
@@ -71,7 +61,7 @@ def shingles(text: str, size: int = 5) -> np.ndarray:
     own = text.encode().translate(_LOWER).split()
     if not own:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, own), np.uint64, len(own))
+    h = np.fromiter(map(alone(_hashes).__getitem__, own), np.uint64, len(own))
     n = min(size, len(h))
     s = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):

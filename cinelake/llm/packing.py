@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import set_batches, written
+from .common import alone, remembered, set_batches, written
 
 #: Words whose ids a worker remembers; beyond that they are worked out each time.
 MEMO = 800_000
@@ -53,7 +53,7 @@ class WordTokenizer:
         self.t = Tokenizer.from_file(path)
         # their strings in a text are one token each: such texts go to the library whole
         self.special = [t.content for t in self.t.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = remembered({})
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.t.encode_batch(texts, add_special_tokens=False)]
@@ -74,7 +74,8 @@ class WordTokenizer:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         words = [_WORD.findall(t.lower()) if _is_latin(t) and not any(x in t for x in self.special) else None for t in texts]
-        found = [[] if own is None else list(map(self.memo.get, own)) for own in words]
+        get = alone(self.memo).get
+        found = [[] if own is None else list(map(get, own)) for own in words]
         new = {w for own, got in zip(words, found, strict=True) if None in got for w, ids in zip(own, got, strict=True) if ids is None}
         made = self._words(list(new)) if new else {}
         if len(self.memo) + len(made) <= MEMO:

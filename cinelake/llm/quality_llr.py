@@ -15,18 +15,17 @@ empty table gives an empty result; rows with a null id are judged like others.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import set_batches, shielded, small, without, written
+from .common import WordHashes, alone, remembered, set_batches, shielded, small, without, written
 
 BUCKETS = 1 << 16
 UNIT = 1_000_000
-MEMO = 400_000
 SPACES = " \t\n\x0b\x0c\r"
 # Fixed value: the characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -34,23 +33,14 @@ SYMBOLS = "#*$%&|<>"
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _TOP = np.uint64(48)
 
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < MEMO:
-            self[word] = h
-        return h
-
-
-_hashes = _Hashes()
+_hashes = remembered(WordHashes())
 
 
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and each word's text number. Bytes split at exactly the six white-space characters."""
     own = [t.encode().split() for t in texts]
     counts = np.array([len(w) for w in own], np.int64)
-    flat = np.fromiter((_hashes[w] for ws in own for w in ws), np.uint64, int(counts.sum()))
+    flat = np.fromiter(map(alone(_hashes).__getitem__, chain.from_iterable(own)), np.uint64, int(counts.sum()))
     return flat, np.repeat(np.arange(len(texts)), counts)
 
 

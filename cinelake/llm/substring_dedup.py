@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, set_batches, shielded, without, written
+from .common import BROADCAST_BYTES, WordHashes, alone, remembered, set_batches, shielded, without, written
 
 WIDTH, LEAST, LONG = 3, 10, 50
 
@@ -44,19 +45,8 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 _WORD = re.compile(r"\S+")
 #: Words of the part that is chosen from a stretch.
 PART = 26
-#: Words whose hashes a worker remembers.
-MEMO = 400_000
 
-
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < MEMO:
-            self[word] = h
-        return h
-
-
-_hashes = _Hashes()
+_hashes = remembered(WordHashes())
 
 
 def cut(text: str) -> tuple[list[int], list[list[str]]]:
@@ -118,7 +108,7 @@ def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in a row, and where each text's begin, with the end."""
     own = [t.lower().split() for t in texts]
     ends = np.cumsum([0, *map(len, own)])
-    return np.fromiter((_hashes[w] for ws in own for w in ws), np.uint64, int(ends[-1])), ends
+    return np.fromiter(map(alone(_hashes).__getitem__, chain.from_iterable(own)), np.uint64, int(ends[-1])), ends
 
 
 def _sums(h: np.ndarray, size: int, factor: np.uint64) -> np.ndarray:
