@@ -442,3 +442,30 @@ def test_titles_of_a_list_are_heard_as_each_alone():
     took = time.perf_counter() - start
     assert got == [[coverage.title_hook(t, x) for t in titles] for x in texts] and sum(x is not None for g in got for x in g) > 50
     assert time.perf_counter() - start > 4 * took
+
+
+def test_dialogue_of_a_job_against_each_pair():
+    """All files and references of a job at once: coverage, cosines and weights as pair by pair, long phrases and empty texts too."""
+    from collections import Counter
+
+    from cinelake.functions import words
+    from cinelake.operators import dialogue
+
+    told = [invented(k, 30 + 7 * k) for k in range(7)] + ["", "a " * 60, " ".join(w * 4 for w in invented(3, 20).split())]
+    heard = [invented(40 + k, 25 + k) for k in range(5)] + [told[2], " ".join(told[5].split()[3:40]), None, "oblin", told[9]]
+    word, code, covered, mean, typical = dialogue.of_job(heard, told)
+    df = Counter(w for t in told for w in set(words.words(t)))
+    for f, own in enumerate(heard):
+        for d, text in enumerate(told):
+            assert abs(covered[f, d] - plain_coverage(own, text, len(told), df)) < 1e-9
+    assert abs(covered[5, 2] - 1) < 1e-9 and abs(covered[9, 9] - 1) < 1e-9 and not covered[7].any() and (covered > 0).sum() > 30
+
+    made = [dialogue._terms(words.words(t)) for t in told]
+    seen = Counter(t for own in made for t in own)
+    weigh = lambda own: {t: (1 + math.log(k)) * math.log(1 + (len(told) - (seen[t] or 1) + 0.5) / ((seen[t] or 1) + 0.5)) for t, k in own.items()}
+    for f, own in enumerate(heard):
+        for d in range(len(told)):
+            a, b = weigh(dialogue._terms(words.words(own))), weigh(made[d])
+            norm = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+            assert abs(word[f, d] - (min(1.0, sum(x * b.get(t, 0) for t, x in a.items()) / norm) if norm else 0)) < 1e-9
+    assert (code >= 0).all() and code.max() <= 1 and mean[7] == 0 and typical > 0
