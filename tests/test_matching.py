@@ -193,3 +193,11 @@ def test_plans_name_approved_files(spark):
     assert {(r.file_id, r.reason) for r in rest.collect()} == {("b", "extra"), ("p", "playAll")}
     with pytest.raises(Exception, match="not in the list"):
         renames.build_plan(files, decisions, matches, episodes.limit(0), ("Harbour", None), "kodi", "/out")[0].collect()
+
+
+def test_terms_of_pairs_are_not_shuffled(show):
+    """The matching run compares texts within a job's row: no window over the pairs' places, as there was one for each phrase."""
+    files = [(f"t{k}", 610.0, misheard(SHOW[e], 50 + k), None, False) for k, e in enumerate([2, 0])]
+    asked, episodes, texts, _ = show(files)
+    plan = matching.content(asked, episodes, texts)._jdf.queryExecution().analyzed().toString()
+    assert "postings" not in plan and "mapInPandas" in plan.replace("MapInPandas", "mapInPandas")
